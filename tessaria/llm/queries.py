@@ -1,9 +1,11 @@
 """Registry of the training-data queries."""
 
 from .line_dedup import SQL_OP1, op1_line_dedup
+from .quality import op10_quality_rules
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE = {
     "op1_line_dedup": SQL_OP1,
