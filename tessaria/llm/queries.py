@@ -1,12 +1,15 @@
 """Registry of the training-data queries."""
 
+from .jaccard_join import SQL_OP9, op9_jaccard_join
 from .line_dedup import SQL_OP1, op1_line_dedup
 from .quality import op10_quality_rules
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE = {
     "op1_line_dedup": SQL_OP1,
+    "op9_jaccard_join": SQL_OP9,
 }
