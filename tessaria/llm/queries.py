@@ -1,15 +1,18 @@
 """Registry of the training-data queries."""
 
+from .decontaminate import SQL_OP6, op6_decontamination
 from .jaccard_join import SQL_OP9, op9_jaccard_join
 from .line_dedup import SQL_OP1, op1_line_dedup
 from .quality import op10_quality_rules
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE = {
     "op1_line_dedup": SQL_OP1,
+    "op6_decontamination": SQL_OP6,
     "op9_jaccard_join": SQL_OP9,
 }
