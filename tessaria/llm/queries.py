@@ -1,5 +1,6 @@
 """Registry of the training-data queries."""
 
+from .byte_bpe import op3_byte_bpe
 from .decontaminate import SQL_OP6, op6_decontamination
 from .jaccard_join import SQL_OP9, op9_jaccard_join
 from .line_dedup import SQL_OP1, op1_line_dedup
@@ -7,6 +8,7 @@ from .quality import op10_quality_rules
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
     "op6_decontamination": op6_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
