@@ -3,13 +3,17 @@
 from .byte_bpe import op3_byte_bpe
 from .decontaminate import SQL_OP6, op6_decontamination
 from .jaccard_join import SQL_OP9, op9_jaccard_join
+from .licence import op4_licence_scan
 from .line_dedup import SQL_OP1, op1_line_dedup
+from .pii import op8_pii
 from .quality import op10_quality_rules
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_licence_scan": op4_licence_scan,
     "op6_decontamination": op6_decontamination,
+    "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
