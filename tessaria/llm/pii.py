@@ -197,10 +197,13 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
     def joined(rows):
         return F.array_join(F.transform(rows, told), ",")
 
+    def count(kind: str):
+        return F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("__spans", lambda s: s["kind"].isin(*BASE))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("__spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *[count(k) for k in BASE],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined("__spans").alias("spans"),
     )
