@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BIN, LONG, materialize, read_table, schema, top_threshold
-from .textcore import span_hashes
+from .textcore import pick, span_hashes
 
 FREQUENT = 800_000
 CHUNK, COUNT_CHUNK = 128, 4096
@@ -162,14 +162,8 @@ def count_pieces(docs: DataFrame) -> DataFrame:
             for i in range(0, whole.num_rows, COUNT_CHUNK):
                 cuts = [cut(t) for t in whole.column(0).slice(i, COUNT_CHUNK).to_pylist()]
                 h = np.concatenate([span_hashes(*c) for c in cuts])
-                size = np.cumsum([len(c[1]) for c in cuts])
                 _, first, n = np.unique(h, return_index=True, return_counts=True)
-                doc = np.searchsorted(size, first, side="right")
-                off = first - np.concatenate(([0], size))[doc]
-                out = []
-                for d, o in zip(doc.tolist(), off.tolist()):
-                    buf, s, e = cuts[d]
-                    out.append(buf[s[o] : e[o]].tobytes())
+                out = pick(cuts, first)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(n.astype(np.int64))], ["piece", "n"])
 
     return docs.select("text").mapInArrow(local, schema(piece=BIN, n=LONG)).groupBy("piece").agg(F.sum("n").alias("n"))
@@ -229,13 +223,7 @@ def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("d
                 miss[ok] = known.hash[at[ok]] != h[ok]
                 _, first, inv = np.unique(h[miss], return_index=True, return_inverse=True)
                 at[miss] = -1 - inv
-                end = np.cumsum(count)
-                rare = []
-                for j in np.flatnonzero(miss)[first].tolist():
-                    d = int(np.searchsorted(end, j, side="right"))
-                    buf, s, e = cuts[d]
-                    o = j - (end[d] - count[d])
-                    rare.append(buf[s[o] : e[o]].tobytes())
+                rare = pick(cuts, np.flatnonzero(miss)[first])
                 row = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(k)) for k in range(n_keys)]
                 row += [pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())]
                 row += [pa.array([rare], pa.list_(pa.binary()))]

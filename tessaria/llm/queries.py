@@ -5,6 +5,7 @@ from .decontaminate import SQL_OP6, op6_decontamination
 from .jaccard_join import SQL_OP9, op9_jaccard_join
 from .licence import op4_licence_scan
 from .line_dedup import SQL_OP1, op1_line_dedup
+from .lm_score import op7_lm_score
 from .pii import op8_pii
 from .quality import op10_quality_rules
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_licence_scan": op4_licence_scan,
     "op6_decontamination": op6_decontamination,
+    "op7_lm_score": op7_lm_score,
     "op8_pii": op8_pii,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,

@@ -97,3 +97,15 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def as_bytes(text) -> bytes:
     """UTF-8 of a text; null is empty; A-Z untouched."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def pick(cuts: list, at: np.ndarray) -> list[bytes]:
+    """The bytes of spans ``at``, counted through all ``cuts`` of (buf, starts, ends)."""
+    ends = np.cumsum([len(c[1]) for c in cuts])
+    doc = np.searchsorted(ends, at, side="right")
+    off = at - np.concatenate(([0], ends))[doc]
+    out = []
+    for d, o in zip(doc.tolist(), off.tolist()):
+        buf, s, e = cuts[d]
+        out.append(buf[s[o] : e[o]].tobytes())
+    return out
