@@ -2,6 +2,7 @@
 
 from .byte_bpe import op3_byte_bpe
 from .decontaminate import SQL_OP6, op6_decontamination
+from .html_text import op2_html_extraction
 from .jaccard_join import SQL_OP9, op9_jaccard_join
 from .licence import op4_licence_scan
 from .line_dedup import SQL_OP1, op1_line_dedup
@@ -11,6 +12,7 @@ from .quality import op10_quality_rules
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_licence_scan": op4_licence_scan,
     "op6_decontamination": op6_decontamination,
