@@ -1,3 +1,61 @@
+"""The corpus pipeline: quality rules, line dedup, Jaccard join, decontamination, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns a DataFrame; ``run`` writes every stage's result to the shared
+scratch folder as Parquet and reads it again as the next stage's ``docs``.
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessaria.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality
+from tessaria.llm.common import materialize, read_table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the perplexity bands reject go."""
+    return quality.quality_filter(docs)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows go; ``n_chars`` follows the text where it changed."""
+    out = line_dedup.line_dedup(docs)
+    length = F.when(F.col("__n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", length).select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 0.8 of their five-word shingles, the one with the smallest id stays."""
+    return jaccard_join.jaccard_dedup(docs, k=5, num=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every remaining document, with digests of the ids and of the bytes they decode to."""
+    return byte_bpe.digests(byte_bpe.encode(docs, keys=("doc_id", "lang", "source", "n_chars")), keep_ids=True)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_contaminated),
+    ("byte-level BPE", encode),
+]
+
+#: The quality stage's perplexity model can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

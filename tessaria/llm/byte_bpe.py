@@ -272,11 +272,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(local, T.StructType([*encoded.schema.fields, T.StructField("data", BIN)]))
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of an encoded table."""
+def digests(encoded: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """The keys, n_tokens, ids_sha256 and decoded_sha256 of an encoded table."""
     both = decode(encoded, path)
     return both.select(
-        *[c for c in encoded.columns if c != "ids"],
+        *[c for c in encoded.columns if keep_ids or c != "ids"],
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("data", 256).alias("decoded_sha256"),
