@@ -1,2 +1,7 @@
-QUERIES = {}
-ORACLE = {}
+"""All queries of the library and their oracles."""
+
+from . import aggregate_queries, join_queries, ordered_queries
+
+_PARTS = (ordered_queries, join_queries, aggregate_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}
