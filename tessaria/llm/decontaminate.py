@@ -34,6 +34,8 @@ HASHES = 48
 LEAST = 32
 #: Items of one block; about 1 KB each on the executors.
 ITEMS = 50_000
+#: Documents searched together.
+CHUNK = 64
 
 #: The h-th permutation of the (already mixed) shingle hashes is a product with the h-th odd number.
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -77,50 +79,65 @@ class ItemIndex:
             order = np.argsort(m, axis=0, kind="stable")
             self.tables[key] = (np.take_along_axis(m, order, axis=0), np.array(rows)[order])
 
-    def candidates(self, shingles: np.ndarray, sizes: list[tuple[int, int]]) -> set[int]:
-        """Items that share a minimum with some window."""
-        out: set[int] = set()
-        bounds = {u: np.arange(0, len(shingles), u) for _, u in sizes}
+    def candidates(self, parts: list[np.ndarray], sizes: list[tuple[int, int]]) -> set[tuple[int, int]]:
+        """(document, item) pairs where some window of the document shares a minimum with the item."""
+        out: set[tuple[int, int]] = set()
+        whole = np.concatenate(parts)
+        length = np.array([len(p) for p in parts])
+        first = np.cumsum(length) - length
+        bounds = {}
+        for _, u in sizes:
+            count = -(-length // u)
+            doc = np.repeat(np.arange(len(parts)), count)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            bounds[u] = (first[doc] + at * u, doc, np.flatnonzero(doc[:-1] == doc[1:]))
         for h, seed in enumerate(_SEEDS):
-            v = shingles * seed
+            v = whole * seed
             for key in sizes:
-                block = np.minimum.reduceat(v, bounds[key[1]])
-                window = np.minimum(block[:-1], block[1:]) if len(block) > 1 else block
+                start, doc, pair = bounds[key[1]]
+                block = np.minimum.reduceat(v, start)
+                window = block.copy()
+                window[pair] = np.minimum(block[pair], block[pair + 1])
                 m, rows = self.tables[key]
                 col = m[:, h]
                 left = np.searchsorted(col, window)
-                hit = left < len(col)
-                hit[hit] = col[left[hit]] == window[hit]
-                for x, i in zip(window[hit].tolist(), left[hit].tolist()):
-                    while i < len(col) and int(col[i]) == x:
-                        out.add(int(rows[i, h]))
+                for w in np.flatnonzero(col[np.minimum(left, len(col) - 1)] == window).tolist():
+                    i = int(left[w])
+                    while i < len(col) and col[i] == window[w]:
+                        out.add((int(doc[w]), int(rows[i, h])))
                         i += 1
         return out
 
-    def search(self, text) -> list[tuple[int, int]]:
-        """(item position, shared shingles) of the items contained in a text."""
-        w = _lower_words(text)
-        if not len(w):
-            return []
+    def search(self, texts: list) -> list[list[tuple[int, int]]]:
+        """For each text the (item position, shared shingles) of the items it contains."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        words = [_lower_words(t) for t in texts]
         by_length: dict[int, list] = {}
         for key in self.tables:
             by_length.setdefault(key[0], []).append(key)
-        out = []
         for n, keys in by_length.items():
-            if len(w) < n:
+            docs = [d for d, w in enumerate(words) if len(w) >= n]
+            if not docs:
                 continue
-            s = shingle_hashes(w, n)
-            have = None
-            for i in sorted(self.candidates(s, keys)):
-                have = np.unique(s) if have is None else have
+            parts = [shingle_hashes(words[d], n) for d in docs]
+            have: dict[int, np.ndarray] = {}
+            for d, i in sorted(self.candidates(parts, keys)):
+                if d not in have:
+                    have[d] = np.unique(parts[d])
                 item = self.sets[i]
-                at = np.minimum(np.searchsorted(have, item), len(have) - 1)
-                shared = int((have[at] == item).sum())
+                at = np.minimum(np.searchsorted(have[d], item), len(have[d]) - 1)
+                shared = int((have[d][at] == item).sum())
                 if THRESHOLD[1] * shared >= THRESHOLD[0] * len(item):
-                    out.append((i, shared))
+                    out[docs[d]].append((i, shared))
         return out
 
 
+def _searched(index: ItemIndex, column):
+    """Matches of each text of an Arrow column, a chunk at a time."""
+    for i in range(0, len(column), CHUNK):
+        yield from index.search(column.slice(i, CHUNK).to_pylist())
+
+
 def _item_blocks(items: DataFrame, most: int):
     """The items in blocks of about ``most``, one at a time."""
     n = items.count()
@@ -143,7 +160,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = K, most: int = I
         def local(batches, index=index):
             x = index.value
             for b in batches:
-                hits = [(d, x.ids[i], n, len(x.sets[i])) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, n in x.search(t)]
+                hits = [(d, x.ids[i], n, len(x.sets[i])) for d, found in zip(b.column(0).to_pylist(), _searched(x, b.column(1))) for i, n in found]
                 cols = list(zip(*hits)) or [[], [], [], []]
                 arrays = [pa.array(c, pa.int64()) for c in cols]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([n / m for _, _, n, m in hits], pa.float64())], out.fieldNames())
@@ -161,7 +178,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = K, most: int = ITE
 
         def local(batches, index=index):
             for b in batches:
-                yield b.filter(pa.array([not index.value.search(t) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not found for found in _searched(index.value, b.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(local, docs.schema)
     return docs
