@@ -1,0 +1,367 @@
+"""Each operator on a small table of hard cases, against brute force where there is one."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tessaria.llm import (
+    byte_bpe,
+    decontaminate,
+    html_text,
+    jaccard_join,
+    licence,
+    line_dedup,
+    lm_score,
+    pii,
+    quality,
+    suffix_dedup,
+    textcore,
+)
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(seed: int, n: int) -> str:
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[i] + str(rng.integers(0, 50)) for i in rng.integers(0, len(WORDS), n))
+
+
+LONG = prose(1, 4000)
+TEXTS = [
+    None,
+    "",
+    " \n\t ",
+    "one",
+    "don't stop\n\nnow é日本 'sun  x",
+    prose(2, 120),
+    prose(2, 120),
+    prose(2, 118) + " other words",
+    LONG,
+    LONG + " tail",
+    "line a\nline b\nline c\nline d",
+    "x\nline a\nline b\nline c\ny",
+    "A\n" * 8,
+    prose(3, 60) + "\nLicensed under the Apache License, Version 2.0.\nall  rights RESERVED",
+    "mail a.b@c.example.com or +1 (743) 555-3824, ip 10.0.0.256 and 1.2.3.4, card 4111 1111 1111 1111",
+    "".join(chr(97 + i % 26) for i in range(300)) * 2,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 3 else None, None, len(t or ""), "clash") for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __first string").cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def by_id(df, key="doc_id"):
+    rows = df.collect()
+    out = {r[key]: r for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_line_dedup(docs, none):
+    got = by_id(line_dedup.line_dedup(docs))
+    seen, cover = set(), {}
+    for i, t in enumerate(TEXTS):
+        if t is None:
+            continue
+        lines = t.split("\n")
+        for p in range(len(lines) - 2):
+            w = "\n".join(lines[p : p + 3])
+            if w.strip():
+                if w in seen:
+                    cover.setdefault(i, set()).update((p, p + 1, p + 2))
+                seen.add(w)
+    for i, t in enumerate(TEXTS):
+        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cover.get(i, ()))
+        assert got[i]["text"] == want
+        assert got[i]["__n_removed"] == len(cover.get(i, ()))
+    assert line_dedup.line_dedup(none).count() == 0
+
+
+def test_html():
+    page = (
+        '<html><head><title>t</title><script>var x="<p>no</p>";</script></head><body><nav><a>menu</a></nav><div class="ad">buy</div>'
+        "<article><h1>Head &amp; more</h1><p>One\n  two<br>three<p>Four</p><aside>side</aside></article>"
+        '<div class="comments"><p>reader</p></div><footer>foot</footer></body></html>'
+    )
+    assert html_text.extract(page) == "Head & more\n\nOne two three\n\nFour"
+    plain = "<body><div class='menu'>m</div><div id=content><p>A</p><p>B</p></div><form><p>f</p></form></body>"
+    assert html_text.extract(plain) == "A\n\nB"
+    assert html_text.extract(None) == html_text.extract("") == ""
+    pages = [f"<body><div class=box><p>{'text ' * (i + 1)}</p><p>Read more here</p></div><p>{i}</p></body>" for i in range(5)]
+    w = html_text.infer(pages)
+    assert ["body/div.box/p", "Read more here"] in w["constant"] and w["root"] == "body/div.box" and "#PCDATA" in w["regex"]
+    assert html_text.extract(pages[2], w) == "text text text"
+
+
+def test_html_pages(spark):
+    rows = [(i, f"http://h{i % 2}.org/{i}" if i else None, f"<body><article><p>p{i}</p></article></body>" if i != 3 else None) for i in range(12)]
+    got = by_id(html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert len(got) == 12 and got[3]["text"] == "" and got[5]["text"] == "p5" and got[5]["n_chars"] == 2
+    assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_bpe_equals_the_library(docs, none):
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as P
+
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(byte_bpe.default_path()), special_tokens={})
+    got = by_id(byte_bpe.digests(byte_bpe.encode(docs)))
+    for i, t in enumerate(TEXTS):
+        ids = own.encode_ordinary(t or "")
+        assert got[i]["n_tokens"] == len(ids)
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    assert byte_bpe.encode(none).count() == 0
+
+
+def test_bpe_cuts_as_the_pattern():
+    regex = pytest.importorskip("regex")
+    import random
+
+    import public_tokenizers as P
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        t = "".join(rng.choice(["'", "s", "re", "ll", "v", " ", "\n", " ", "é", "1", "²", "!", "日"]) for _ in range(rng.randint(0, 14)))
+        b, s, e = byte_bpe.cut(t)
+        assert [b[i:j].tobytes().decode() for i, j in zip(s, e)] == regex.findall(P.PATTERN, t), t
+
+
+def test_licence(docs, none):
+    got = by_id(licence.licence_scan(docs))
+    r = got[13]
+    assert r["base_labels"] == "reserved" and r["labels"] == "apache-2.0,reserved" and r["n_base"] == 1 and r["score"] == 1.0
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(TEXTS[13]))
+    assert r["n_words"] == len(w) and r["first_word"] == r["last_word"] == w.index("reserved") - 2
+    assert got[0]["n_words"] == 0 and got[0]["first_word"] is None and got[0]["labels"] == "" and got[0]["score"] == 0.0
+    assert licence.licence_scan(none).count() == 0
+
+
+def test_licence_finds_every_block():
+    """Against testing every window of a text against every template."""
+    find = licence.Templates(licence.TEMPLATES, {})
+    for label, texts in licence.TEMPLATES.items():
+        for text in texts:
+            w = licence.word_codes(prose(9, 37) + " " + text + " " + prose(8, 21))
+            brute = {}
+            for lab, size, tokens, need in find.rows:
+                for k in range(0, len(w), size):
+                    n = len(set(tokens) & {int(x) for x in w[k : k + 2 * size]})
+                    if n >= need:
+                        brute[lab] = max(brute.get(lab, 0), n / len(tokens))
+            got = find.search(w)
+            assert label in got
+            assert {k: v for k, v in brute.items() if all(brute.get(b, 0) <= v for b in find.rivals.get(k, ()))} == got
+
+
+def removed(texts):
+    seen, out = set(), []
+    for t in texts:
+        b = (t or "").encode()
+        mark = bytearray(len(b))
+        for i in range(len(b) - 99):
+            s = b[i : i + 100]
+            if s in seen:
+                mark[i : i + 100] = b"\1" * 100
+            seen.add(s)
+        out.append((b, mark))
+    return out
+
+
+def test_suffix_dedup(docs, none, spark, monkeypatch):
+    for most in (4096, 1):  # with the start-by-start way for large anchors too
+        monkeypatch.setattr(suffix_dedup, "MOST", most)
+        got = by_id(suffix_dedup.suffix_dedup(docs))
+        for i, (b, mark) in enumerate(removed(TEXTS)):
+            assert got[i]["kept"] == bytes(c for c, m in zip(b, mark) if not m)
+            assert got[i]["n_removed"] == sum(mark)
+            assert got[i]["n_spans"] == len([x for x in bytes(mark).split(b"\0") if x])
+    assert suffix_dedup.suffix_dedup(none).count() == 0
+    twice = spark.createDataFrame([(1, LONG), (1, LONG), (None, LONG)], "doc_id long, text string")
+    assert [r["n_removed"] for r in suffix_dedup.suffix_dedup(twice).collect()] == [0, 0, 0]
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(2)
+    for n in [*range(30), 300]:
+        for k in (1, 2, 5):
+            s = rng.integers(0, k, n)
+            assert suffix_dedup.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+
+
+def test_decontaminate(docs, none, spark):
+    items = spark.createDataFrame([(1, prose(1, 4000)[1000:1300]), (2, "one"), (3, None), (4, "not there at all in any text"), (5, prose(2, 120))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, items).collect()}
+    want = set()
+    for item, text in [tuple(r) for r in items.collect()]:
+        w = words(lower(text))
+        k = min(5, len(w))
+        q = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+        for d, t in enumerate(TEXTS):
+            v = words(lower(t))
+            s = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)}
+            if q and 5 * len(q & s) >= 4 * len(q):
+                want.add((d, item))
+    assert got == want and {(8, 1), (9, 1), (3, 2), (5, 5)} <= got
+    left = {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()}
+    assert left == set(range(len(TEXTS))) - {d for d, _ in want}
+    assert decontaminate.decontaminate(docs, items, most=2).count() == len(left)  # in blocks
+    assert decontaminate.decontaminate(docs, items.limit(0)).count() == len(TEXTS)
+    assert decontaminate.contained_items(none, items).count() == 0
+
+
+def test_lm(docs, none):
+    held = docs.withColumn("held_out", lm_score.remainder(docs["doc_id"]) == 1)
+    counts, lex, model = lm_score.fit(held.where("not held_out"))
+    got = by_id(lm_score.score(held, counts, lex, model, ("doc_id", "held_out")))
+    c, n = {}, 0
+    for i, t in enumerate(TEXTS):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for w in [*words(lower(t)), ""]:
+                c[w] = c.get(w, 0) + 1
+                n += 1
+    for i, t in enumerate(TEXTS):
+        toks = [*words(lower(t)), ""]
+        base = sum(np.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (len(c) + 1))) for w in toks)
+        r = got[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 1)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(toks), sum(w in c for w in toks), n)
+        assert abs(r["base_score"] - base) < 1e-6 and r["score"] < 0
+    counts, lex, model = lm_score.fit(none)
+    assert lm_score.score(docs, counts, lex, model).count() == len(TEXTS)
+
+
+def test_lm_is_normalised_and_learns():
+    rng = np.random.default_rng(0)
+    uni = np.full(12, 1 / 12)
+    m = lm_score.LogBilinear(uni)
+    u = rng.integers(0, 12, 40000)
+    w = (u + 1) % 12  # the next word follows from the one before
+    for i in range(0, len(w), 500):
+        m.step(w[i : i + 500], u[i : i + 500], rng.integers(0, 12, len(w[i : i + 500])), rng, 8)
+    one, two, b, z = m.tables()
+    p = np.exp(one[:, None, :] + two[None, :, :] + b - z[:, :, None])
+    assert np.allclose(p.sum(-1), 1, atol=1e-4)
+    assert np.mean([p[x, :, (x + 1) % 12].mean() for x in range(12)]) > 0.3  # 1/12 without learning
+
+
+def test_pii(docs, none):
+    r = by_id(pii.find_pii(docs))[14]["__spans"]
+    t = TEXTS[14]
+    assert [(s["kind"], t[s["start"] : s["end"]]) for s in r] == [
+        ("email", "a.b@c.example.com"),
+        ("ip", "1.2.3.4"),
+        ("card", "4111 1111 1111 1111"),
+        ("phone", "+1 (743) 555-3824"),
+    ]
+    assert pii.redact(t) == "mail <email> or <phone>, ip 10.0.0.256 and <ip>, card <card>"
+    assert pii.find_pii(none).count() == 0
+    more = pii.spans('IBAN: DE89 3704 0044 0532 0130 00 token = "abcdef0123456789abcd" SSN 123-45-6789 see https://x.org/a?b.')
+    assert [k for k, _, _ in more] == ["account", "key", "national", "url"]
+
+
+def test_pii_base_equals_the_patterns():
+    import random
+
+    rng = random.Random(3)
+    rx = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def ok(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        return {"email": True, "ip": kind != "ip" or all(int(p) < 256 for p in s.split(".")), "card": 16 <= len(d) <= 19 and pii._luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+    for _ in range(4000):
+        t = "".join(rng.choice(["a@b.c", "@", "1.2.3.4", ".", "5", "4111111111111111", " ", "-", "+1 ", "é", "256"]) for _ in range(rng.randint(0, 12)))
+        want = [(k, *m.span()) for k, p in rx.items() for m in re.finditer(p, t) if ok(k, m.group())]
+        assert [s for s in pii.spans(t) if s[0] in pii.BASE] == want
+
+
+def test_jaccard(docs, none, monkeypatch):
+    for k, num, block in ((4, 85, 256), (5, 80, 2)):  # with chunk pairs of large groups too
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = by_id(jaccard_join.jaccard_classes(docs, k, num))
+        sets = []
+        for t in TEXTS:
+            w = words(lower(t))
+            n = min(k, len(w))
+            sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+        root = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= num * len(a | b):
+                    x, y = root[i], root[j]
+                    root = [min(x, y) if r in (x, y) else r for r in root]
+        for i, s in enumerate(sets):
+            assert got[i]["n_shingles"] == len(s) and got[i]["component_id"] == root[i], i
+    kept = {r["doc_id"] for r in jaccard_join.jaccard_dedup(docs).collect()}
+    assert kept == {i for i, r in enumerate(root) if i == r}
+    assert jaccard_join.jaccard_classes(none).count() == 0
+
+
+def test_tree_prunes_only_what_cannot_link():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[: 400 - d], rng.integers(0, 2**63, d // 2).astype(np.uint64)))) for d in rng.integers(1, 120, 40)]
+    n = np.array([len(s) for s in sets])
+    ids = np.arange(len(sets))
+    got = set(jaccard_join.block_pairs(ids, n, ids, [jaccard_join.signature(s) for s in sets], np.zeros(len(sets), int), 85, False))
+    for i in range(len(sets)):
+        for j in range(i):
+            o = len(np.intersect1d(sets[i], sets[j]))
+            if 185 * o >= 85 * (n[i] + n[j]):
+                assert (j, i) in got
+
+
+def test_quality(docs, none):
+    got = by_id(quality.quality(docs))
+    for i, t in enumerate(TEXTS):
+        w = words(t)
+        tri = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        rep = {j + k for j, x in enumerate(tri) if tri.count(x) > 1 for k in range(3)} if len(tri) < 500 else None
+        lines = (t or "").split("\n")
+        dup = sum(bool(words(x)) and x in lines[:j] for j, x in enumerate(lines))
+        r = got[i]
+        assert r["n_words"] == len(w) and r["word_chars"] == sum(map(len, w)) and r["n_dup_lines"] == dup
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in t or "")
+        if rep is not None:
+            assert r["n_repeat_words"] == len(rep)
+            assert r["base_failed"] == (len(w) < 50 or 100 * len(rep) > 50 * len(w))
+        assert not (r["base_failed"] and r["kept"])
+    assert {r["doc_id"] for r in quality.quality_filter(docs).collect()} == {i for i, r in got.items() if r["kept"]}
+    assert quality.quality(none).count() == 0 and quality.quality_filter(none).count() == 0
+
+
+def test_kneser_ney_sums_to_one():
+    c = np.bincount(quality.codes("the cat sat on the mat. the dog sat on the log."))
+    k = np.flatnonzero(c)
+    m = quality.KneserNey(k, c[k])
+    for ctx in ((4, 5), (23, 11), (0, 0)):
+        at = np.array([(ctx[0] * 128 + ctx[1]) * 128 + w for w in range(128)])
+        assert abs((10 ** m.log10(at)).sum() - 1) < 1e-9
+
+
+def test_word_hashes_agree():
+    t = textcore.as_bytes("Ab ab  abé x" * 50)
+    h = textcore.word_hashes(t.lower())
+    w = t.lower().split()
+    assert len(h) == len(w) and len(set(h.tolist())) == len(set(w))
+    assert all((h[i] == h[j]) == (w[i] == w[j]) for i in range(12) for j in range(12))
