@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DBL, LONG, read_table, schema
+from .common import DBL, LONG, materialize, read_table, schema
 from .textcore import U, as_bytes, mix, shingle_hashes, word_hashes
 
 K, THRESHOLD = 5, (4, 5)
@@ -173,7 +173,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = K, most: int = ITE
     """``docs`` without the documents that contain an item; judged row by row, nothing is joined."""
     spark = docs.sparkSession
     at = docs.columns.index("text")
-    for rows in _item_blocks(items, most):
+    for i, rows in enumerate(_item_blocks(items, most)):
+        if i:  # one block of items, and one Python worker a task, at a time
+            docs = materialize(docs, "decontaminated")
         index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], k))
 
         def local(batches, index=index):
