@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining document, with digests of the ids and of the bytes they decode to."""
-    return byte_bpe.digests(byte_bpe.encode(docs, keys=("doc_id", "lang", "source", "n_chars")), keep_ids=True)
+    return byte_bpe.digests(byte_bpe.encode(docs, keys=("doc_id", "lang", "source", "n_chars"), decoded=True), keep_ids=True)
 
 
 STAGES = [

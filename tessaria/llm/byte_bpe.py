@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from .common import BIN, LONG, materialize, read_table, schema, top_threshold
 from .textcore import pick, span_hashes
 
-FREQUENT = 800_000
-CHUNK, COUNT_CHUNK = 128, 4096
+FREQUENT = 500_000
+CHUNK, COUNT_CHUNK = 128, 2048
 SLOTS = 1 << 16
 NONE = 2**31 - 1
 
@@ -195,8 +195,21 @@ def _gather(flat: np.ndarray, offset: np.ndarray, at: np.ndarray) -> tuple[np.nd
     return flat[np.arange(total[-1] if len(total) else 0) - np.repeat(total - size - offset[at], size)], size
 
 
-def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys`` and ``ids`` (binary, little-endian unsigned 32-bit), one row per row of ``docs``."""
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for k, v in ranks.items():
+        out[v] = k
+    return out
+
+
+def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """``keys`` and ``ids`` (binary, little-endian unsigned 32-bit), one row per row of ``docs``.
+
+    With ``decoded`` also ``data``, the bytes that the ids stand for: the same
+    as :func:`decode`, without another round of Python workers.  The folded
+    chunks are written to the shared scratch folder, so that a stage holds one
+    Python worker a task and a lost executor costs no second folding.
+    """
     spark = docs.sparkSession
     ranks = load_ranks(path or default_path())
     table = rank_literal(ranks)
@@ -205,8 +218,11 @@ def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("d
     top = counts.where(F.col("n") >= least).repartition(spark.sparkContext.defaultParallelism)
     got = top.select("piece", _let(table, lambda t: bpe_fold(F.col("piece"), t)).alias("ids")).toArrow()  # at most FREQUENT rows
     held = spark.sparkContext.broadcast(Frequent(_whole(got.column("piece")), _whole(got.column("ids"))))
+    del got
     key_fields = [docs.schema[k] for k in keys]
     n_keys = len(keys)
+    piece = spark.sparkContext.broadcast(_pieces(ranks)) if decoded else None
+    out_fields = [T.StructField("ids", BIN), *([T.StructField("data", BIN)] if decoded else [])]
 
     def split(batches):
         """A row per chunk: its keys, the pieces of its texts as places in the frequent table or, beyond that, in ``rare``."""
@@ -245,22 +261,22 @@ def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("d
                 ids, size = _gather(flat, offset, at)
                 tokens = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
                 out = [ids[s:e].astype("<u4").tobytes() for s, e in zip(tokens[:-1].tolist(), tokens[1:].tolist())]
-                arrays = [b.column(k)[r].values for k in range(n_keys)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, pa.binary())], [*keys, "ids"])
+                arrays = [*(b.column(k)[r].values for k in range(n_keys)), pa.array(out, pa.binary())]
+                if piece:
+                    get, flat = piece.value.__getitem__, ids.tolist()
+                    data = [b"".join(map(get, flat[s:e])) for s, e in zip(tokens[:-1].tolist(), tokens[1:].tolist())]
+                    arrays.append(pa.array(data, pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, [*keys, *(f.name for f in out_fields)])
 
     many = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in key_fields]).add("at", BIN).add("count", BIN)
     chunks = docs.select(*keys, "text").mapInArrow(split, T.StructType(many.fields + [T.StructField("rare", T.ArrayType(BIN))]))
     folded = chunks.select(*keys, "at", "count", _let(table, lambda t: F.transform("rare", lambda p: bpe_fold(p, t))).alias("rare"))
-    return folded.mapInArrow(join, T.StructType([*key_fields, T.StructField("ids", BIN)]))
+    return materialize(folded, "bpe-chunks").mapInArrow(join, T.StructType([*key_fields, *out_fields]))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with ``data``: the bytes of its ``ids``, concatenated piece by piece."""
-    ranks = load_ranks(path or default_path())
-    piece = [b""] * (max(ranks.values()) + 1)
-    for k, v in ranks.items():
-        piece[v] = k
-    held = encoded.sparkSession.sparkContext.broadcast(piece)
+    held = encoded.sparkSession.sparkContext.broadcast(_pieces(load_ranks(path or default_path())))
     at = encoded.columns.index("ids")
 
     def local(batches):
@@ -274,9 +290,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def digests(encoded: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """The keys, n_tokens, ids_sha256 and decoded_sha256 of an encoded table."""
-    both = decode(encoded, path)
+    both = encoded if "data" in encoded.columns else decode(encoded, path)
     return both.select(
-        *[c for c in encoded.columns if keep_ids or c != "ids"],
+        *[c for c in encoded.columns if c != "data" and (keep_ids or c != "ids")],
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("data", 256).alias("decoded_sha256"),
@@ -285,4 +301,4 @@ def digests(encoded: DataFrame, path: str | None = None, keep_ids: bool = False)
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(encode(docs))
+    return digests(encode(docs, decoded=True))
