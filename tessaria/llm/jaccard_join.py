@@ -13,7 +13,7 @@ Surviving pairs are verified on the exact sets.
 
 Two rounds keep large groups of near copies from making all pairs: the first
 takes a spanning forest of each block's survivors; the second takes every
-survivor whose documents are still in different components.  A pair left out
+survivor, by wider bitmaps, whose documents are still in different components.  A pair left out
 joins two documents that links already connect, so no component changes.
 
 Defined cases: null or empty text, or text without words, has the empty set
@@ -28,19 +28,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BIN, INT, LONG, components, materialize, read_table, schema, small_or_plain, top_threshold
+from .common import BIN, INT, LONG, STR, components, materialize, read_table, schema, small_or_plain, top_threshold
 from .textcore import as_bytes, shingle_hashes, word_hashes
 
 #: Largest block that one task holds; longer ones are split into chunk pairs.
 BLOCK = 256
 #: Tokens in more documents than this are put last in the order; at most HOT_MOST are (8 bytes each).
 HOT_LEAST, HOT_MOST = 8, 500_000
-BITS = 2048
+#: A bitmap has at least so many bits a token (of the second round's fewer documents more), a power of two between these.
+FIRST, SECOND = 2, 16
+LEAST_BITS, MOST_BITS = 512, 1 << 20
 #: Documents whose sets a Python task holds at a time.
 CHUNK = 256
+SCAN = 2048
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -51,9 +56,14 @@ def prefix_size(n: int, num: int, den: int = 100) -> int:
     return n - (-(-num * n // den)) + 1
 
 
-def signature(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+def bits_for(n: int, each: int) -> int:
+    return min(max(1 << (each * n - 1).bit_length(), LEAST_BITS), MOST_BITS) if n else LEAST_BITS
+
+
+def signature(s: np.ndarray, each: int = FIRST) -> bytes:
+    size = bits_for(len(s), each)
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -70,7 +80,7 @@ class Tree:
     """A static tree over documents sorted by size: levels[0] are leaves, each upper node spans ``fan`` below."""
 
     def __init__(self, n: np.ndarray, sig: np.ndarray, fan: int = 8):
-        self.fan = fan
+        self.fan = fan = len(n) if len(n) <= 4 * fan else fan
         self.levels = [(n, n, sig, sig)]  # least size, largest size, OR of bitmaps, AND of bitmaps
         while len(self.levels[-1][0]) > 1:
             lo, hi, any_, all_ = self.levels[-1]
@@ -114,17 +124,52 @@ def _children(i, j, fan, size):
     return kids[ok], other[ok]
 
 
-def block_pairs(doc, n, comp, sig, side, num: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of a block that the tree leaves.  ``side`` 0 and 1: only pairs across; all equal: pairs within."""
+def _tree_pairs(n, sigs, x, y, num):
+    """Places (i, j) that the trees over documents ``x`` and ``y`` leave; wider bitmaps are folded to the narrower."""
+    width = min(min(len(sigs[i]) for i in x), min(len(sigs[i]) for i in y))
+
+    def grown(rows):
+        out = np.empty((len(rows), width // 8), dtype=np.uint64)
+        for r, i in enumerate(rows):
+            v = np.frombuffer(sigs[i], dtype=np.uint64)
+            out[r] = v if len(sigs[i]) == width else np.bitwise_or.reduce(v.reshape(-1, width // 8), axis=0)
+        return Tree(n[rows], out)
+
+    a = grown(x)
+    i, j = dual_traversal(a, a if y is x else grown(y), num)
+    return x[i], y[j]
+
+
+def block_pairs(doc, n, comp, sigs, side, num: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of a block that the trees leave, and whether a forest left some of them out.  ``side`` 0 and 1: only pairs across; all equal: pairs within.
+
+    Documents are dealt into trees by bitmap width; sizes within the threshold differ by one width at most.
+    """
     order = np.lexsort((doc, n))
-    doc, n, comp, sig, side = doc[order], n[order], comp[order], sig[order], side[order]
-    if side.min() != side.max():
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    else:
-        x = y = np.arange(len(doc))
-    i, j = dual_traversal(Tree(n[x], sig[x]), Tree(n[y], sig[y]), num)
-    i, j = x[i], y[j]
-    keep = (comp[i] != comp[j]) & ((doc[i] < doc[j]) | (side[i] != side[j]))
+    doc, n, comp, side = doc[order], n[order], comp[order], side[order]
+    sigs = [sigs[i] for i in order.tolist()]
+    width = np.array([len(s) for s in sigs])
+    across = side.min() != side.max()
+    left, right = [], []
+    for w in np.unique(width).tolist():
+        here = np.flatnonzero(width == w)
+        near = np.flatnonzero(width == 2 * w)
+        for x, y in ((here, here), (here, near)):
+            if across:
+                for s in (0, 1) if y is near else (0,):
+                    p, q = x[side[x] == s], y[side[y] == 1 - s]
+                    if len(p) and len(q):
+                        i, j = _tree_pairs(n, sigs, p, q, num)
+                        left.append(i)
+                        right.append(j)
+            elif len(x) and len(y) and (y is not here or len(x) > 1):
+                i, j = _tree_pairs(n, sigs, x, y, num)
+                left.append(i)
+                right.append(j)
+    if not left:
+        return [], False
+    i, j = np.concatenate(left), np.concatenate(right)
+    keep = (comp[i] != comp[j]) & ((i < j) | across)
     i, j = i[keep], j[keep]
     if forest:
         root = list(range(len(doc)))
@@ -143,7 +188,7 @@ def block_pairs(doc, n, comp, sig, side, num: int, forest: bool) -> list[tuple[i
                 out.append((p, q))
     else:
         out = list(zip(i.tolist(), j.tolist()))
-    return [(int(min(doc[p], doc[q])), int(max(doc[p], doc[q]))) for p, q in out]
+    return [(int(min(doc[p], doc[q])), int(max(doc[p], doc[q]))) for p, q in out], len(out) < len(i)
 
 
 # --- Spark ------------------------------------------------------------------
@@ -155,30 +200,31 @@ def _chunked(batch, n: int = CHUNK):
 
 
 def _scan(docs: DataFrame, k: int) -> DataFrame:
-    """Kind 0: (doc_id, n, key) a document; kind 1: (token, documents of a batch that have it) where several have."""
+    """Kind 0: (doc_id, n, key, bitmap) a document; kind 1: (token, documents of a chunk that have it) where several have."""
+    names = ["kind", "v", "n", "key", "sig"]
 
     def local(batches):
-        for b in batches:
-            ids, ns, keys, every = b.column(0), [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingle_set(t, k)
-                ns.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                every.append(s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(ns), np.int32)), ids, pa.array(ns, pa.int64()), pa.array(keys, pa.binary())], ["kind", "v", "n", "key"]
-            )
-            # Copies within the batch count once: they are one class.
-            first = {key: i for i, key in reversed(list(enumerate(keys))) if key is not None}
-            if first:
-                u, c = np.unique(np.concatenate([every[i] for i in first.values()]), return_counts=True)
-                u, c = u[c >= 3].view(np.int64), c[c >= 3]
+        for whole in batches:
+            for b in _chunked(whole, SCAN):
+                ns, keys, sigs, every = [], [], [], {}
+                for t in b.column(1).to_pylist():
+                    s = shingle_set(t, k)
+                    ns.append(len(s))
+                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    sigs.append(signature(s))
+                    if len(s):
+                        every.setdefault(keys[-1], s)  # copies within the chunk count once: they are one class
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(len(u), np.int32)), pa.array(u), pa.array(c.astype(np.int64)), pa.nulls(len(u), pa.binary())],
-                    ["kind", "v", "n", "key"],
+                    [pa.array(np.zeros(len(ns), np.int32)), b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+                    names,
                 )
+                if every:
+                    u, c = np.unique(np.concatenate(list(every.values())), return_counts=True)
+                    u, c = u[c >= 3].view(np.int64), c[c >= 3]
+                    none = pa.nulls(len(u), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.array(u), pa.array(c.astype(np.int64)), none, none], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, schema(kind=INT, v=LONG, n=LONG, key=BIN))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, schema(kind=INT, v=LONG, n=LONG, key=BIN, sig=BIN))
 
 
 def _hot(scan: DataFrame) -> np.ndarray:
@@ -197,12 +243,13 @@ def _prefix_tokens(docs: DataFrame, k: int, num: int, hot) -> DataFrame:
         keys = order[at]
         for whole in batches:
             for b in _chunked(whole):
-                tok, doc = [], []
+                tok, doc, size = [], [], []
                 for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     s = shingle_set(t, k)
                     if d is None or not len(s):
                         continue
-                    p = prefix_size(len(s), num)
+                    n = len(s)
+                    p = prefix_size(n, num)
                     if len(keys):
                         i = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                         is_hot = keys[i] == s
@@ -214,43 +261,121 @@ def _prefix_tokens(docs: DataFrame, k: int, num: int, hot) -> DataFrame:
                             s = cool
                     tok.append(s[:p])
                     doc.append(np.full(p, d, dtype=np.int64))
+                    size.append(np.full(p, n, dtype=np.int32))
                 if tok:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tok).view(np.int64)), pa.array(np.concatenate(doc))], ["tok", "doc"]
+                        [pa.array(np.concatenate(tok).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(size))],
+                        ["tok", "doc", "n"],
                     )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, schema(tok=LONG, doc=LONG))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, schema(tok=LONG, doc=LONG, n=INT))
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, n, sig, tokens): the exact set as sorted longs, and its bitmap."""
+def _sharper(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc, sig): wide bitmaps of the documents in ``ids(doc_id)``, which leave hardly a pair that does not link."""
 
     def local(batches):
         for whole in batches:
             for b in _chunked(whole):
-                s = [shingle_set(t, k) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0),
-                        pa.array([len(x) for x in s], pa.int64()),
-                        pa.array([signature(x) for x in s], pa.binary()),
-                        pa.array([x.tobytes() for x in s], pa.binary()),
-                    ],
-                    ["doc", "n", "sig", "tokens"],
-                )
+                sigs = [signature(shingle_set(t, k), SECOND) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["doc", "sig"])
+
+    need = docs.join(small_or_plain(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return need.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, schema(doc=LONG, sig=BIN))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc, tokens): the exact sets of the documents in ``ids(doc_id)``."""
+
+    def local(batches):
+        for whole in batches:
+            for b in _chunked(whole):
+                s = [shingle_set(t, k).view(np.int64) for t in b.column(1).to_pylist()]
+                off = np.concatenate(([0], np.cumsum([len(x) for x in s]))).astype(np.int32)
+                flat = np.concatenate(s) if s else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["doc", "tokens"])
+
+    need = docs.join(small_or_plain(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    out = T.StructType([T.StructField("doc", LONG), T.StructField("tokens", T.ArrayType(LONG))])
+    return need.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, out)
+
+
+def comparable(doc: np.ndarray, n: np.ndarray, num: int, den: int = 100) -> np.ndarray:
+    """The documents, sorted by id, that have another one of a size within the threshold."""
+    order = np.argsort(n, kind="stable")
+    size = n[order]
+    near = num * size[1:].astype(np.int64) <= den * size[:-1].astype(np.int64)
+    keep = np.zeros(len(size), dtype=bool)
+    keep[1:] |= near
+    keep[:-1] |= near
+    return np.sort(doc[order[keep]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, schema(doc=LONG, n=LONG, sig=BIN, tokens=BIN))
 
+def _shared(tokens: DataFrame, num: int) -> DataFrame:
+    """Groups of the prefix tokens that several documents have: ``docs`` of up to BLOCK, or (tok, doc) of larger ones.
 
-def _shared(tokens: DataFrame) -> DataFrame:
-    """(tok, doc, c): prefix tokens that c > 1 documents have."""
-    counts = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return materialize(tokens.join(counts, "tok"), "jj-shared")
+    Tokens are shuffled once and read as a sorted stream; no more than BLOCK rows of a token are held.
+    Documents that no other of their group can match by size are left out.
+    """
+    list_ = pa.list_(pa.int64())
+
+    def local(batches):
+        seen: set[bytes] = set()
+        tok, held = None, []  # the open group's (docs, sizes) while it is small; None once it is known to be large
+
+        def close(lists):
+            if held:
+                key = comparable(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), num)
+                if len(key) > 1:
+                    name = hashlib.blake2b(key.tobytes(), digest_size=16).digest()
+                    if name not in seen:
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        seen.add(name)
+                        lists.append(key)
+
+        def small(lists):
+            none = pa.nulls(len(lists), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(lists, list_), none, none], ["docs", "tok", "doc"])
+
+        for b in batches:
+            t, d, n = (b.column(i).to_numpy() for i in range(3))
+            cut = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)])) if len(t) else np.zeros(1, np.int64)
+            lists, toks, docs = [], [], []
+            # Most tokens are in one document: only the first, the last and the longer groups are looked at.
+            size = np.diff(cut)
+            look = np.flatnonzero(size > 1)
+            if len(size):
+                look = np.union1d(look, [0, len(size) - 1])
+            for g in look.tolist():
+                s, e = int(cut[g]), int(cut[g + 1])
+                if t[s] != tok:
+                    close(lists)
+                    tok, held = t[s], []
+                if held is not None and sum(len(h[0]) for h in held) + e - s <= BLOCK:
+                    held.append((d[s:e], n[s:e]))
+                    continue
+                for h in held or ():
+                    toks.append(np.full(len(h[0]), tok))
+                    docs.append(h[0])
+                held = None
+                toks.append(t[s:e])
+                docs.append(d[s:e])
+            yield small(lists)
+            if docs:
+                toks, docs = np.concatenate(toks), np.concatenate(docs)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(docs), list_), pa.array(toks), pa.array(docs)], ["docs", "tok", "doc"])
+        lists = []
+        close(lists)
+        yield small(lists)
+
+    out = T.StructType([T.StructField("docs", T.ArrayType(LONG)), T.StructField("tok", LONG), T.StructField("doc", LONG)])
+    return tokens.repartition("tok").sortWithinPartitions("tok").mapInArrow(local, out)
 
 
 def _small_blocks(shared: DataFrame) -> DataFrame:
     """(block, doc, side): distinct lists of at most BLOCK documents that share a prefix token."""
-    lists = shared.where(F.col("c") <= BLOCK).groupBy("tok").agg(F.sort_array(F.collect_list("doc")).alias("docs")).select("docs").distinct()
+    lists = shared.where("docs is not null").select("docs").distinct()
     return lists.select(F.sha2(F.to_json("docs"), 256).alias("block"), F.explode("docs").alias("doc")).withColumn("side", F.lit(0))
 
 
@@ -259,7 +384,8 @@ def _large_blocks(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
 
     With ``comp(doc, comp)``, tokens whose documents are in one component by now are left out.
     """
-    large = shared.where(F.col("c") > BLOCK)
+    large = shared.where("tok is not null").select("tok", "doc")
+    large = large.join(large.groupBy("tok").agg(F.count(F.lit(1)).alias("c")), "tok")
     chunks = F.ceil(F.col("c") / BLOCK).cast("int")
     large = large.withColumn("mine", F.pmod(F.xxhash64("doc", "tok"), chunks).cast("int"))
     if comp is None:
@@ -277,34 +403,62 @@ def _large_blocks(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def _candidates(blocks: DataFrame, members: DataFrame, num: int, forest: bool) -> DataFrame:
-    """Distinct surviving pairs (a, b) of all blocks that hold more than one component."""
+    """Distinct surviving pairs (a, b) of all blocks that hold more than one component.
+
+    Of a forest also (null, null, block) for each block that has further pairs.
+    """
     rows = blocks.join(members, "doc")
     several = blocks.join(members.select("doc", "comp"), "doc").groupBy("block").agg(F.min("comp").alias("l"), F.max("comp").alias("h"))
     rows = rows.join(several.where("l <> h").select("block"), "block")
 
-    def tree(key, t):
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint64).reshape(t.num_rows, BITS // 64)
-        pairs = block_pairs(*(t.column(c).to_numpy() for c in ("doc", "n", "comp")), sig, t.column("side").to_numpy(), num, forest)
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    def trees(batches):
+        """Rows come sorted by block; a block is bounded, so one is held at a time."""
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            ids = rest.column("block").combine_chunks()
+            last = int(pc.index(ids, ids[-1]).as_py()) if len(ids) else 0
+            if last:
+                yield pairs_of(rest.slice(0, last))
+                rest = rest.slice(last)
+        if rest is not None and rest.num_rows:
+            yield pairs_of(rest)
+
+    def pairs_of(t):
+        ids = t.column("block").to_numpy()
+        at = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
+        doc, n, comp, side = (t.column(c).to_numpy() for c in ("doc", "n", "comp", "side"))
+        sig = t.column("sig").to_pylist()
+        out, more = [], []
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+            pairs, rest = block_pairs(doc[s:e], n[s:e], comp[s:e], sig[s:e], side[s:e], num, forest)
+            out += pairs
+            if rest:
+                more.append(ids[s])
+        out = list(dict.fromkeys(out))
+        pad = [None] * len(more)
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([p[i] for p in out] + pad, pa.int64()) for i in (0, 1)), pa.array([None] * len(out) + more, pa.string())], ["a", "b", "block"]
+        )
 
-    return rows.select("block", "doc", "n", "comp", "sig", "side").groupBy("block").applyInArrow(tree, schema(a=LONG, b=LONG)).distinct()
+    rows = rows.select("block", "doc", "n", "comp", "sig", "side").repartition("block").sortWithinPartitions("block")
+    return rows.mapInArrow(trees, schema(a=LONG, b=LONG, block=STR)).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int = 100) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
     """Pairs whose exact sets meet the threshold."""
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jj-used")
+    sets = materialize(_sets(docs, ids, k), "jj-sets")
     left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y"))
-
-    def test(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                o = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                ok.append((den + num) * o >= num * (len(x) + len(y)))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, schema(a=LONG, b=LONG))
+    shared = F.size(F.array_intersect("x", "y"))
+    return (
+        pairs.join(left, "a")
+        .join(right, "b")
+        .where((den + num) * shared >= num * (F.size("x") + F.size("y")))
+        .select("a", "b")
+    )
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
@@ -312,30 +466,30 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     scan = materialize(_scan(docs, k), "jj-scan")
-    rows = scan.where("kind = 0 and v is not null").select(F.col("v").alias("doc"), "n", "key").dropDuplicates(["doc"])
+    rows = scan.where("kind = 0 and v is not null").select(F.col("v").alias("doc"), "n", "key", "sig").dropDuplicates(["doc"])
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"))
-    owners = materialize(rows.join(classes, "key", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "jj-owner")
-    extra = owners.where("doc <> rep or n = 0").select(F.col("doc").alias("doc_id"))
-    extra = materialize(extra, "jj-copies")
-    alone = docs.join(small_or_plain(extra, extra.count()), "doc_id", "left_anti").where("doc_id is not null").dropDuplicates(["doc_id"])
+    owners = materialize(rows.join(classes, "key", "left").select("doc", "n", "sig", F.coalesce("rep", "doc").alias("rep")), "jj-owner")
+    extra = materialize(owners.where("doc <> rep or n = 0").select(F.col("doc").alias("doc_id")), "jj-copies")
+    alone = docs.join(small_or_plain(extra, extra.count()), "doc_id", "left_anti").where("doc_id is not null")
 
     hot = spark.sparkContext.broadcast(_hot(scan))
-    tokens = materialize(_prefix_tokens(alone, k, num, hot), "jj-tokens")
-    shared = _shared(tokens)
+    shared = materialize(_shared(_prefix_tokens(alone, k, num, hot), num), "jj-shared")
     small = materialize(_small_blocks(shared), "jj-blocks")
-    used = materialize(shared.select("doc").distinct(), "jj-used")
-    need = docs.join(small_or_plain(used.withColumnRenamed("doc", "doc_id"), used.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(_sets(need, k), "jj-sets")
-
-    members = sets.select("doc", "n", "sig", F.col("doc").alias("comp"))
-    first = materialize(_verified(_candidates(small.union(_large_blocks(shared, None)), members, num, True), sets, num), "jj-links")
+    members = owners.where("doc = rep").select("doc", "n", "sig", F.col("doc").alias("comp"))
+    told = materialize(_candidates(small.union(_large_blocks(shared, None)), members, num, True), "jj-pairs")
+    tried = told.where("a is not null").select("a", "b")
+    first = materialize(_verified(tried, docs, k, num), "jj-links")
     comp = components(first)
     members = (
-        sets.select("doc", "n", "sig")
-        .join(comp.withColumnRenamed("v", "doc"), "doc", "left")
-        .select("doc", "n", "sig", F.coalesce("component", "doc").alias("comp"))
+        members.drop("comp").join(comp.withColumnRenamed("v", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     )
-    second = materialize(_verified(_candidates(small.union(_large_blocks(shared, members.select("doc", "comp"))), members, num, False), sets, num), "jj-links")
+    # Only blocks whose forest left pairs out, and chunk pairs of large groups, have anything new.
+    again = small.join(told.where("block is not null").select("block"), "block").select(small.columns)
+    again = materialize(again.union(_large_blocks(shared, members.select("doc", "comp"))), "jj-again")
+    ids = materialize(again.select(F.col("doc").alias("doc_id")).distinct(), "jj-used")
+    members = members.drop("sig").join(materialize(_sharper(docs, ids, k), "jj-sharper"), "doc")
+    fresh = _candidates(again, members, num, False).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    second = materialize(_verified(materialize(fresh, "jj-pairs"), docs, k, num), "jj-links")
     comp = components(first.union(second))
     return owners.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")

@@ -323,7 +323,7 @@ def test_tree_prunes_only_what_cannot_link():
     sets = [np.unique(np.concatenate((base[: 400 - d], rng.integers(0, 2**63, d // 2).astype(np.uint64)))) for d in rng.integers(1, 120, 40)]
     n = np.array([len(s) for s in sets])
     ids = np.arange(len(sets))
-    got = set(jaccard_join.block_pairs(ids, n, ids, [jaccard_join.signature(s) for s in sets], np.zeros(len(sets), int), 85, False))
+    got = set(jaccard_join.block_pairs(ids, n, ids, [jaccard_join.signature(s) for s in sets], np.zeros(len(sets), int), 85, False)[0])
     for i in range(len(sets)):
         for j in range(i):
             o = len(np.intersect1d(sets[i], sets[j]))
