@@ -115,3 +115,15 @@ def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> Da
     df = df.withColumn("__new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
     df = df.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return df.groupBy(*keys, "__i").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("merged")).drop("__i")
+
+
+def covering(df: DataFrame, start: str, end: str, day: str, name: str) -> DataFrame:
+    """Number of date ranges (both ends included) that cover each day: +1 at the start, -1 after the end, and a running sum.
+
+    Ranges that end before they start, or lack an end, cover nothing.  The window holds one row a distinct end of a range.
+    """
+    step = F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.date_add(end, 1).alias("at"), F.lit(-1).alias("d"))
+    steps = df.where(F.col(end) >= F.col(start)).select(F.explode(F.array(*step)).alias("s")).groupBy("s.at").agg(F.sum("s.d").alias("d"))
+    w = Window.partitionBy(F.lit(0)).orderBy("at")
+    runs = steps.select("at", F.lead("at").over(w).alias("next"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+    return runs.where(F.col(name) > 0).select(F.explode(F.sequence("at", F.date_sub("next", 1))).alias(day), name)

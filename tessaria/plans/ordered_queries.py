@@ -208,9 +208,7 @@ WITH o AS (SELECT l_orderkey, o_orderdate::DATE AS a, min(l_shipdate)::DATE AS b
 x AS (SELECT l_orderkey, unnest(generate_series(a::TIMESTAMP, least(b, a + 30)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM o WHERE b >= a)
 SELECT day, count(*) AS covering FROM x GROUP BY day""")
 def range_cover(spark, sf):
-    """Expand ranges to the steps they cover, and count them."""
+    """Every day of each order's range, order date to first ship date, counted by a sweep over the ranges' ends."""
     o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a"))
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate").groupBy("l_orderkey").agg(F.to_date(F.min("l_shipdate")).alias("b"))
-    rows = o.join(li, o.o_orderkey == li.l_orderkey).where("b >= a")
-    days = rows.select(F.explode(F.sequence("a", F.least("b", F.date_add("a", 30)))).alias("day"))
-    return days.groupBy("day").agg(F.count(F.lit(1)).alias("covering"))
+    return O.covering(o.join(li, o.o_orderkey == li.l_orderkey), "a", "b", "day", "covering")
