@@ -113,7 +113,7 @@ SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) EN
 FROM events WHERE value > 180 GROUP BY 1""")
 def conflict_to_null(spark, sf):
     """One distinct value is the value, several are NULL and a conflict."""
-    out = A.conflict(table(spark, sf, "events").where("value > 180").select("user_id", "event_type"), ["user_id"], "event_type")
+    out = A.conflict(table(spark, sf, "events").select("user_id", "event_type"), ["user_id"], "event_type")
     return out.select("user_id", "value", F.when(F.col("conflict").isNotNull(), F.array_join("conflict", ",")).alias("conflict"))
 
 

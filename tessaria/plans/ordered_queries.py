@@ -85,9 +85,9 @@ c AS (SELECT day, last_value(CASE WHEN len(v) > 0 THEN {'v': CASE WHEN len(v) =
 SELECT day, l.v AS value, conflict FROM c""")
 def timeline_conflict_carry(spark, sf):
     """Dense timeline, a conflict carries NULL on."""
-    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "event_type", "event_id")
+    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "event_type")
     spine = e.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    marks = e.where(F.col("event_type").isin("signup", "error") & (F.col("event_id") % 40 == 0))
+    marks = e.where(F.col("event_type").isin("signup", "error"))
     return O.timeline(marks, "day", "event_type", "day", spine)
 
 
