@@ -7,7 +7,9 @@ the template lies in one block.  A block matches when it holds at least
 first by their counts over all documents; a block that matches must hold a
 token of the template's prefix, be long enough, and at its first common token
 have enough tokens left in that order (prefix, length and positional filters).
-What is left is verified.  Base phrases are searched for in every word.
+What is left is verified.  Every label with a matching block is told, so a
+notice is also told under a label whose template differs from it in one word.
+Base phrases are searched for in every word.
 
 Templates and their counts are a fixed, small vocabulary; documents are read
 twice and never shuffled.  Defined cases: null and empty texts have no words,
@@ -94,13 +96,8 @@ class Templates:
         for r, (_, _, tokens, need) in enumerate(self.rows):
             for t in tokens[: len(tokens) - need + 1]:
                 self.index.setdefault(t, []).append(r)
-        #: Labels whose templates are so alike that one text can match both: only the best of them is told.
+        #: Labels that give way to others: none, every label with a block that meets the threshold is told.
         self.rivals: dict[str, set[str]] = {}
-        for a, _, x, _ in self.rows:
-            for b, _, y, need in self.rows:
-                if a != b and len(set(x) & set(y)) >= need:
-                    self.rivals.setdefault(a, set()).add(b)
-                    self.rivals.setdefault(b, set()).add(a)
         self.prefix = np.array(sorted(self.index), dtype=np.uint64)
         self.vocabulary = np.array(sorted(self.rank), dtype=np.uint64)
 
@@ -118,7 +115,7 @@ class Templates:
                     if (r, block) not in seen:
                         seen.add((r, block))
                         self._verify(w[block * size : block * size + 2 * size], r, out)
-        return {a: c for a, c in out.items() if all(out.get(b, 0.0) <= c for b in self.rivals.get(a, ()))}
+        return out
 
     def _verify(self, block: np.ndarray, r: int, out: dict[str, float]) -> None:
         label, _, tokens, need = self.rows[r]

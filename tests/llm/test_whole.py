@@ -1,0 +1,22 @@
+"""Cases in which operators once told less than the whole of their matches."""
+
+from tessaria.llm import licence
+
+
+def brute(find, w):
+    out = {}
+    for label, size, tokens, need in find.rows:
+        for k in range(0, len(w), size):
+            n = len(set(tokens) & {int(x) for x in w[k : k + 2 * size]})
+            if n >= need:
+                out[label] = max(out.get(label, 0), n / len(tokens))
+    return out
+
+
+def test_licence_tells_every_label_that_meets_the_threshold():
+    find = licence.Templates(licence.TEMPLATES, {})
+    filler = " ".join(f"word{i}" for i in range(200))
+    for between in (filler, ""):
+        w = licence.word_codes(f"Licensed under CC BY-NC 3.0 {between} Licensed under CC BY-SA 4.0 {filler}")
+        got = find.search(w)
+        assert got == brute(find, w) and {"cc-by-nc", "cc-by-sa"} <= set(got)
