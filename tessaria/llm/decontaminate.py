@@ -9,7 +9,9 @@ makes a candidate, and every candidate is verified by exact containment of the
 item's shingles in the whole document.  An item has over half of its class's
 bound, so a window that holds all of it has a similarity of 1/4 or more, and one
 that holds 0.8 of it about 0.19: the chance that all minima differ is about 1e-8
-and 1e-6 (the search is as good as exact, not exact).
+and 1e-6 (the search is as good as exact, not exact).  Items of at most ``SHORT``
+shingles, which must be contained whole, are looked up by one of their shingles,
+exactly.
 
 Items come in blocks of at most ``ITEMS`` (a bounded query set against all
 rows), each a pass over the documents.  No document row is shuffled.
@@ -34,6 +36,8 @@ from .textcore import U, as_bytes, mix, shingle_hashes, word_hashes
 K, THRESHOLD = 5, (4, 5)
 HASHES = 64
 LEAST = 8
+#: Items of at most so many shingles need all of them; larger ones have over half of the least class.
+SHORT = 4
 #: Items of one block; about 1 KB each on the executors.
 ITEMS = 50_000
 #: Documents searched together.
@@ -61,6 +65,7 @@ class ItemIndex:
         self.sets: list[np.ndarray] = []
         self.length: list[int] = []  # words a shingle
         by: dict[tuple[int, int], list[int]] = {}
+        short: dict[int, list[tuple[int, int]]] = {}
         for item, text in zip(ids, texts):
             w = _lower_words(text)
             if not len(w):
@@ -70,7 +75,10 @@ class ItemIndex:
             size = LEAST
             while size < len(s):
                 size *= 2
-            by.setdefault((n, size), []).append(len(self.ids))
+            if len(s) <= SHORT:
+                short.setdefault(n, []).append((int(s[0]), len(self.ids)))
+            else:
+                by.setdefault((n, size), []).append(len(self.ids))
             self.ids.append(item)
             self.sets.append(s)
             self.length.append(n)
@@ -80,6 +88,21 @@ class ItemIndex:
             m = np.array([_minima(self.sets[i]) for i in rows])
             order = np.argsort(m, axis=0, kind="stable")
             self.tables[key] = (np.take_along_axis(m, order, axis=0), np.array(rows)[order])
+        #: words a shingle -> the sorted first shingles of short items, their items
+        self.short = {n: (np.array([h for h, _ in sorted(x)], dtype=U), [i for _, i in sorted(x)]) for n, x in short.items()}
+
+    def holders(self, parts: list[np.ndarray], n: int) -> set[tuple[int, int]]:
+        """(document, item) pairs where the document holds the first shingle of a short item."""
+        if n not in self.short:
+            return set()
+        first, items = self.short[n]
+        out: set[tuple[int, int]] = set()
+        for d, p in enumerate(parts):
+            shared = p[first[np.minimum(np.searchsorted(first, p), len(first) - 1)] == p]
+            for s in np.unique(shared):
+                left, right = np.searchsorted(first, s, "left"), np.searchsorted(first, s, "right")
+                out.update((d, i) for i in items[left:right])
+        return out
 
     def candidates(self, parts: list[np.ndarray], sizes: list[tuple[int, int]]) -> set[tuple[int, int]]:
         """(document, item) pairs where some window of the document shares a minimum with the item."""
@@ -114,7 +137,7 @@ class ItemIndex:
         """For each text the (item position, shared shingles) of the items it contains."""
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
         words = [_lower_words(t) for t in texts]
-        by_length: dict[int, list] = {}
+        by_length: dict[int, list] = {n: [] for n in self.short}
         for key in self.tables:
             by_length.setdefault(key[0], []).append(key)
         for n, keys in by_length.items():
@@ -123,7 +146,7 @@ class ItemIndex:
                 continue
             parts = [shingle_hashes(words[d], n) for d in docs]
             have: dict[int, np.ndarray] = {}
-            for d, i in sorted(self.candidates(parts, keys)):
+            for d, i in sorted(self.candidates(parts, keys) | self.holders(parts, n)):
                 if d not in have:
                     have[d] = np.unique(parts[d])
                 item = self.sets[i]

@@ -1,6 +1,8 @@
 """Cases in which operators once told less than the whole of their matches."""
 
-from tessaria.llm import licence
+import numpy as np
+
+from tessaria.llm import decontaminate, licence
 
 
 def brute(find, w):
@@ -20,3 +22,13 @@ def test_licence_tells_every_label_that_meets_the_threshold():
         w = licence.word_codes(f"Licensed under CC BY-NC 3.0 {between} Licensed under CC BY-SA 4.0 {filler}")
         got = find.search(w)
         assert got == brute(find, w) and {"cc-by-nc", "cc-by-sa"} <= set(got)
+
+
+def test_short_items_are_never_missed():
+    rng = np.random.default_rng(5)
+    text = [f"w{x}" for x in rng.integers(0, 10**6, 4000)]
+    items = [" ".join(text[i : i + n]) for n in range(1, 9) for i in (*range(16), *rng.integers(0, 3990, 400))]
+    index = decontaminate.ItemIndex(list(range(len(items))), items)
+    assert {len(s) for s in index.sets} == {1, 2, 3, 4}
+    found, missing = index.search([" ".join(text), "w-1 w-2 w-3 w-4 w-5 w-6"])
+    assert sorted(found) == [(i, len(s)) for i, s in enumerate(index.sets)] and not missing
