@@ -18,13 +18,14 @@ SCALE = (0, 2, 4, 5, 7, 9, 11)
 
 
 def clean_text(c: Column) -> Column:
-    """Trimmed text, NULL where nothing is left."""
-    return F.nullif(F.trim(c), F.lit(""))
+    """Text without white space at its ends, NULL where nothing is left."""
+    return F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
 def json_body(c: Column) -> Column:
-    """From the first ``{`` to the last ``}`` of an answer, code fences or not."""
-    return clean_text(F.regexp_extract(c, r"(?s)\{.*\}", 0))
+    """From the first ``{`` to the last ``}`` of an answer, code fences or not; NULL unless that is a JSON object."""
+    body = clean_text(F.regexp_extract(c, r"(?s)\{.*\}", 0))
+    return F.when(F.json_object_keys(body).isNotNull(), body)
 
 
 def percent_decode(c: Column) -> Column:
@@ -114,8 +115,9 @@ def string_pitch(string: Column, fret: Column, tuning: Column) -> Column:
 
 
 def quarter_tempo(bpm: Column, beat: Column, dotted: Column) -> Column:
-    """Quarter notes a minute of a tempo given for another beat value."""
-    return F.round(bpm * 4 / beat * F.when(dotted, 1.5).otherwise(1.0)).cast("int")
+    """Quarter notes a minute of a tempo given for another beat value; NULL where either is not in 1 to 999."""
+    quarter = F.round(bpm * 4 / beat * F.when(dotted, 1.5).otherwise(1.0)).cast("int")
+    return F.when(bpm.between(1, 999) & quarter.between(1, 999), quarter)
 
 
 def add_effect(effects: Column, effect: Column) -> Column:

@@ -110,7 +110,7 @@ def latency_median(spark, sf):
 
 @query("""
 SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) END AS value, CASE WHEN count(DISTINCT event_type) > 1 THEN array_to_string(list_sort(list(DISTINCT event_type)), ',') END AS conflict
-FROM events WHERE value > 180 GROUP BY 1""")
+FROM events GROUP BY 1""")
 def conflict_to_null(spark, sf):
     """One distinct value is the value, several are NULL and a conflict."""
     out = A.conflict(table(spark, sf, "events").select("user_id", "event_type"), ["user_id"], "event_type")
@@ -152,13 +152,10 @@ def family_collapse(spark, sf):
     return d.groupBy("source").agg(F.min_by("lang", "doc_id").alias("first_lang"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-WITH c AS (SELECT substr(c_name, 1, 18) AS a, substr(reverse(c_name), 1, 18) AS b, c_nationkey FROM customer)
-SELECT c_nationkey, sum(levenshtein(a, b))::BIGINT AS edits, sum(length(a))::BIGINT AS chars FROM c GROUP BY 1""")
+@query("SELECT p_brand, sum(levenshtein(p_name, p_type))::BIGINT AS edits, sum(length(p_name))::BIGINT AS chars FROM part GROUP BY 1")
 def character_error_rate(spark, sf):
-    """Edit distance over length."""
-    c = table(spark, sf, "customer").select("c_nationkey", F.substring("c_name", 1, 18).alias("a"), F.substring(F.reverse("c_name"), 1, 18).alias("b"))
-    return A.error_rate(c, "a", "b", ["c_nationkey"])
+    """Edit distance over length, of whole texts."""
+    return A.error_rate(table(spark, sf, "part").select("p_brand", "p_name", "p_type"), "p_name", "p_type", ["p_brand"])
 
 
 # --- dataset engineering -------------------------------------------------------

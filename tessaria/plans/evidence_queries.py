@@ -80,22 +80,22 @@ def threshold_selection(spark, sf):
 
 @query("""
 WITH v AS (SELECT p_brand, p_size % 4 AS view, max(p_retailprice) AS best FROM part GROUP BY 1, 2)
-SELECT p_brand, round(sum(best) / 4, 6) AS mean_best, round(max(best), 6) AS top_best, count(*) AS views FROM v GROUP BY 1""")
+SELECT p_brand, round(avg(best), 6) AS mean_best, round(max(best), 6) AS top_best, count(*) AS views FROM v GROUP BY 1""")
 def multi_view_agreement(spark, sf):
     """Best per view, then mean and maximum over views."""
     p = table(spark, sf, "part").select("p_brand", (F.col("p_size") % 4).alias("view"), "p_retailprice")
     v = p.groupBy("p_brand", "view").agg(F.max("p_retailprice").alias("best"))
-    return v.groupBy("p_brand").agg(F.round(F.sum("best") / 4, 6).alias("mean_best"), F.round(F.max("best"), 6).alias("top_best"), F.count(F.lit(1)).alias("views"))
+    return v.groupBy("p_brand").agg(F.round(F.avg("best"), 6).alias("mean_best"), F.round(F.max("best"), 6).alias("top_best"), F.count(F.lit(1)).alias("views"))
 
 
 @query("""
-SELECT ts::DATE AS day, list_extract(list_sort(list(DISTINCT event_type)), 1) AS first_value, count(DISTINCT event_type) > 1 AS warned, bit_or(user_id) AS users_or, max(value) > 100 AS any_large
+SELECT ts::DATE AS day, arg_min(event_type, (ts, event_id)) AS first_value, count(DISTINCT event_type) > 1 AS warned, bit_or(user_id) AS users_or, max(value) > 100 AS any_large
 FROM events GROUP BY 1""")
 def master_timeline(spark, sf):
     """One row a step; several values warn and the first wins; bits united."""
-    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "event_type", "user_id", "value")
+    e = table(spark, sf, "events").select("ts", "event_id", F.to_date("ts").alias("day"), "event_type", "user_id", "value")
     return e.groupBy("day").agg(
-        F.min("event_type").alias("first_value"),
+        F.min_by("event_type", F.struct("ts", "event_id")).alias("first_value"),
         (F.countDistinct("event_type") > 1).alias("warned"),
         F.bit_or("user_id").alias("users_or"),
         F.bool_or(F.col("value") > 100).alias("any_large"),

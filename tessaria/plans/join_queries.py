@@ -168,25 +168,30 @@ def sole_owner(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, 1 + o_orderkey % 4 AS n FROM orders)
-SELECT l.l_orderkey, l.l_linenumber, l.l_linenumber::BIGINT AS place FROM lineitem l JOIN c USING (l_orderkey) JOIN o ON o_orderkey = l_orderkey WHERE c.n = o.n""")
+WITH r AS (SELECT l_suppkey AS k, l_linenumber AS line, l_partkey, l_returnflag AS f, row_number() OVER (PARTITION BY l_suppkey, l_linenumber, l_returnflag ORDER BY l_orderkey, l_partkey) AS place,
+  count(*) OVER (PARTITION BY l_suppkey, l_linenumber, l_returnflag) AS n FROM lineitem)
+SELECT k, line, x.place, x.l_partkey AS one, y.l_partkey AS two FROM r x JOIN r y USING (k, line) WHERE x.f = 'A' AND y.f = 'R' AND x.place = y.place AND x.n = y.n""")
 def positional_join(spark, sf):
-    """Join by place only where both sides have equally many rows."""
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    n = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (1 + F.col("o_orderkey") % 4).alias("m"))
-    same = n.join(o, "l_orderkey").where("n = m").select("l_orderkey")
-    return li.join(same, "l_orderkey").select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("long").alias("place"))
+    """Two lists of a key joined by place, only where they are equally long."""
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("line"), "l_partkey", "l_orderkey", "l_returnflag")
+
+    def side(flag, name):
+        w = Window.partitionBy("k", "line")
+        rows = li.where(F.col("l_returnflag") == flag)
+        rows = rows.withColumn("place", F.row_number().over(w.orderBy("l_orderkey", "l_partkey")).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
+        return rows.select("k", "line", "place", "n", F.col("l_partkey").alias(name))
+
+    return side("A", "one").join(side("R", "two"), ["k", "line", "place", "n"]).drop("n")
 
 
 @query("""
 SELECT n_nationkey, coalesce(c.v, s.v, n_name) AS source_name, CASE WHEN c.v IS NOT NULL THEN 'customer' WHEN s.v IS NOT NULL THEN 'supplier' ELSE 'nation' END AS source
-FROM nation LEFT JOIN (SELECT c_nationkey AS k, min(c_name) AS v FROM customer WHERE c_acctbal > 9900 GROUP BY 1) c ON c.k = n_nationkey
-LEFT JOIN (SELECT s_nationkey AS k, min(s_name) AS v FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON s.k = n_nationkey""")
+FROM nation LEFT JOIN (SELECT c_nationkey AS k, min(c_name) AS v FROM customer GROUP BY 1) c ON c.k = n_nationkey
+LEFT JOIN (SELECT s_nationkey AS k, min(s_name) AS v FROM supplier GROUP BY 1) s ON s.k = n_nationkey""")
 def coalesce_priority(spark, sf):
     """Candidates by source priority."""
-    c = table(spark, sf, "customer").where("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_name").alias("c"))
-    s = table(spark, sf, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_name").alias("s"))
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_name").alias("c"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_name").alias("s"))
     n = table(spark, sf, "nation").select("n_nationkey", "n_name").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
     source = F.when(F.col("c").isNotNull(), "customer").when(F.col("s").isNotNull(), "supplier").otherwise("nation")
     return n.select("n_nationkey", F.coalesce("c", "s", "n_name").alias("source_name"), source.alias("source"))

@@ -33,7 +33,8 @@ def sessions(events: DataFrame, at: str, gap: str, keys: list[str], late: str =
 
 def _carry(key, tables: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     kind, value, last = state.get if state.exists else (None, None, None)
-    for t in tables:
+    whole = list(tables)  # a key's rows of one micro-batch
+    for t in [pd.concat(whole, ignore_index=True)] if whole else []:
         out = []
         for r in t.sort_values("ord").itertuples():
             own = r.value if r.status == "observed" and not pd.isna(r.value) else None
