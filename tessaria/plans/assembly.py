@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import copy
 import json
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from ..operators import ordered
 from ..operators.folds import per_group
 
 LANE = ["source_id", "part_id", "staff_id", "mode"]
+# Kinds of relations and, below, the codes of what keeps them unresolved.
 RANGES = ("pm", "let", "ottava")
 TECHNIQUES = ("hammer", "sl", "ss")
 
@@ -93,13 +95,20 @@ class Lane:
 
     def run(self) -> None:
         bars = [m["bar"] for m in self.measures]
-        self.next = {i: i + 1 for i in range(len(bars) - 1) if bars[i + 1] == bars[i] + 1 and bars.count(bars[i]) == 1 and bars.count(bars[i + 1]) == 1}
+        times = Counter(bars)
+        self.next = {i: i + 1 for i in range(len(bars) - 1) if bars[i + 1] == bars[i] + 1 and times[bars[i]] == times[bars[i + 1]] == 1}
         for i, m in enumerate(self.measures):
             for k, r in enumerate(m["relations"]):
                 if any(isinstance(r.get(s), list) and self.event(m, r[s], "voices") is None for s in ("start", "end")):
                     self.issue(i, "invalid_relation_pointer", relation=k)
                     continue
                 self.nodes.append({"at": i, "rel": k, **r})
+        self.out, self.into = defaultdict(list), defaultdict(list)
+        for n, r in enumerate(self.nodes):
+            if r.get("end") == "right":
+                self.out[r["at"]].append(n)
+            if r.get("start") == "left":
+                self.into[r["at"]].append(n)
         for i in range(len(self.measures)):
             if i in self.next:
                 self.link(i, self.next[i])
@@ -110,8 +119,7 @@ class Lane:
             self.apply(c)
 
     def link(self, i: int, j: int) -> None:
-        out = [n for n, r in enumerate(self.nodes) if r["at"] == i and r.get("end") == "right"]
-        into = [n for n, r in enumerate(self.nodes) if r["at"] == j and r.get("start") == "left"]
+        out, into = self.out[i], self.into[j]
 
         def fits(a: dict, b: dict) -> bool:
             if a.get("kind") and b.get("kind") and a["kind"] != b["kind"]:
@@ -127,7 +135,8 @@ class Lane:
             return x is None or y is None or x == y
 
         pairs = [(a, b) for a in out for b in into if fits(self.nodes[a], self.nodes[b])]
-        sure = [(a, b) for a, b in pairs if sum(p[0] == a for p in pairs) == 1 and sum(p[1] == b for p in pairs) == 1]
+        left, right = (Counter(p[k] for p in pairs) for k in (0, 1))
+        sure = [(a, b) for a, b in pairs if left[a] == right[b] == 1]
         # Parallel ranges that are left over: equally many on both sides, in the order of their lanes.
         left, right = ([n for n in side if n not in {x for p in sure for x in p} and self.nodes[n].get("lane") is not None] for side in (out, into))
         page = lambda m: (m.get("page"), m.get("system"))
@@ -179,6 +188,7 @@ class Lane:
 
     def apply(self, c: dict) -> None:
         kind, at = c["kind"], c["segments"][0]["at"]
+        c["coverage"] = []
         if kind is None:
             self.issue(at, "unknown_relation_kind")
             return
@@ -190,24 +200,28 @@ class Lane:
             return
         source, target = (self.note(self.measures[p[0]], p[1:]) for p in (c["start"], c["end"]))
         if source is None or target is None:
-            self.issue(at, f"{kind}_endpoint_not_a_note")
+            self.fail(c, at, f"{kind}_endpoint_not_a_note")
         elif kind == "tie":
             if source.get("fret") is None:
-                self.issue(at, "tie_value_unresolved")
+                self.fail(c, at, "tie_value_unresolved")
             elif target.get("fret") is None or target["fret"] == source["fret"] and target.get("string") in (None, source.get("string")):
                 target["string"], target["fret"] = source.get("string"), source["fret"]
                 target.setdefault("effects", []).append("tie")
             else:
-                self.issue(c["end"][0], "tie_endpoint_conflict")
+                self.fail(c, c["end"][0], "tie_endpoint_conflict")
         elif kind in TECHNIQUES:
             if source.get("fret") is None or target.get("fret") is None:
-                self.issue(at, f"{kind}_value_unresolved")
+                self.fail(c, at, f"{kind}_value_unresolved")
             else:
                 source.setdefault("effects", []).append(kind)
 
+    def fail(self, c: dict, at: int, reason: str) -> None:
+        """A relation whose endpoints are known but whose values do not let it hold."""
+        c["status"], c["reason"] = "unresolved", reason
+        self.issue(at, reason)
+
     def cover(self, c: dict) -> None:
         """The events from the first endpoint to the last, over whole bars between; a bare label covers its own event."""
-        c["coverage"] = []
         for r in c["segments"]:
             m = self.measures[r["at"]]
             for v in m["resolved"]:
@@ -254,36 +268,66 @@ def assemble_lane(measures: list[dict]) -> Lane:
     return lane
 
 
+def _lanes(records: DataFrame) -> DataFrame:
+    """Records with the time signature that their lane's state gives them."""
+    doc = F.from_json("observation", "struct<state:map<string,struct<status:string,value:string>>>")
+    typed = records.withColumn("observation", doc)
+    time = resolved_state(typed, ["time"]).select("ord", F.when(F.col("carried_status").isin("observed", "inherited"), F.col("carried_value")).alias("time"))
+    rows = records.join(time, "ord")
+    return rows.select(*[F.col(k).cast("string").alias(k) for k in LANE], "ord", "bar_index", "page", "system_index", "time", "observation")
+
+
+def _assembled(g) -> Lane:
+    measures = []
+    for i in sorted(range(len(g["ord"])), key=lambda i: (g["bar_index"][i], g["ord"][i])):
+        o = json.loads(g["observation"][i]) if g["observation"][i] else {}
+        measures.append(
+            {
+                "ord": int(g["ord"][i]),
+                "bar": int(g["bar_index"][i]),
+                "page": g["page"][i],
+                "system": g["system_index"][i],
+                "time": g["time"][i] if isinstance(g["time"][i], str) else None,
+                "voices": o.get("voices") or [],
+                "relations": o.get("relations") or [],
+            }
+        )
+    return assemble_lane(measures)
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """Records (with ``ord`` and the observation as JSON) to ord, resolved, issues and ir, a row a record.
 
     A lane is held whole by one task: it is one staff of one score.  Its state
     is carried by windows; only relations need the fold.
     """
-    doc = F.from_json("observation", "struct<state:map<string,struct<status:string,value:string>>>")
-    typed = records.withColumn("observation", doc)
-    time = resolved_state(typed, ["time"]).select("ord", F.when(F.col("carried_status").isin("observed", "inherited"), F.col("carried_value")).alias("time"))
-    rows = records.join(time, "ord")
 
     def one(g):
-        measures = []
-        for i in sorted(range(len(g["ord"])), key=lambda i: (g["bar_index"][i], g["ord"][i])):
-            o = json.loads(g["observation"][i]) if g["observation"][i] else {}
-            measures.append(
-                {
-                    "ord": int(g["ord"][i]),
-                    "bar": int(g["bar_index"][i]),
-                    "page": g["page"][i],
-                    "system": g["system_index"][i],
-                    "time": g["time"][i] if isinstance(g["time"][i], str) else None,
-                    "voices": o.get("voices") or [],
-                    "relations": o.get("relations") or [],
-                }
-            )
-        assemble_lane(measures)
         head = [g[k][0] for k in LANE]
-        return [(*head, m["ord"], json.dumps(m["resolved"]), json.dumps(m["issues"]), m["ir"]) for m in measures]
+        return [(*head, m["ord"], json.dumps(m["resolved"]), json.dumps(m["issues"]), m["ir"]) for m in _assembled(g).measures]
 
     kinds = ", ".join(f"{k} string" for k in LANE) + ", ord bigint, resolved string, issues string, ir string"
-    lanes = rows.select(*[F.col(k).cast("string").alias(k) for k in LANE], "ord", "bar_index", "page", "system_index", "time", "observation")
-    return per_group(lanes, LANE, one, kinds)
+    return per_group(_lanes(records), LANE, one, kinds)
+
+
+def relations(records: DataFrame) -> DataFrame:
+    """The chains of all lanes, a row a chain: kind, value, start, end, segments, coverage, status, reason.
+
+    Places are JSON lists that begin with the record's ``ord``; a segment is [ord, place of the relation in its record].
+    """
+
+    def one(g):
+        lane = _assembled(g)
+        ords = [m["ord"] for m in lane.measures]
+        place = lambda p: None if p is None else json.dumps([ords[p[0]], *p[1:]])
+        head, out = [g[k][0] for k in LANE], []
+        for c in lane.chains:
+            values = {json.dumps(r["value"]) for r in c["segments"] if r.get("value") is not None}
+            segments = json.dumps([[ords[r["at"]], r["rel"]] for r in c["segments"]])
+            coverage = json.dumps([[ords[p[0]], *p[1:]] for p in c["coverage"]])
+            value = values.pop() if len(values) == 1 else None
+            out.append((*head, c["kind"], value, place(c["start"]), place(c["end"]), segments, coverage, c["status"], c["reason"]))
+        return out
+
+    names = [*LANE, "kind", "value", "start", "end", "segments", "coverage", "status", "reason"]
+    return per_group(_lanes(records), LANE, one, ", ".join(f"`{k}` string" for k in names))
