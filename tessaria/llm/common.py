@@ -48,33 +48,37 @@ def small_or_plain(df: DataFrame, rows: int, bound: int = BROADCAST_IDS) -> Data
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row per vertex ``(v, component)``, the smallest id reachable.
 
-    Minimum-label propagation with pointer jumping; every round is a shuffle
-    on vertex ids and its table is written out, so nothing is collected.
-    An empty edge table gives an empty result; self-loops are allowed.
+    Every vertex points to its smallest neighbour, pointers are followed to
+    their roots, and the edges between different roots are a smaller graph for
+    the next level: each level at least halves the vertices.  All steps are
+    shuffles on vertex ids and their tables are written out, so nothing is
+    collected.  An empty edge table gives an empty result; self-loops are allowed.
     """
-    both = materialize(
-        edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct(), "cc-edges"
-    )
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("component")), "cc-labels")
+    pairs = materialize(_pairs(edges.where("a is not null and b is not null")), "cc-edges")
+    out = None
     while True:
-        near = (
-            both.join(labels.select(F.col("v").alias("b"), F.col("component").alias("l")), "b")
-            .groupBy(F.col("a").alias("v"))
-            .agg(F.min("l").alias("l"))
-        )
-        stepped = labels.join(near, "v", "left").select("v", F.least("component", F.coalesce("l", "component")).alias("n"), "component")
-        parent = labels.select(F.col("v").alias("n"), F.col("component").alias("up"))
-        nxt = materialize(
-            stepped.join(parent, "n", "left").select(
-                "v",
-                F.least("n", F.coalesce("up", "n")).alias("component"),
-                (F.least("n", F.coalesce("up", "n")) != F.col("component")).alias("moved"),
-            ),
-            "cc-labels",
-        )
-        labels = nxt.select("v", "component")
-        if nxt.where("moved").limit(1).count() == 0:
-            return labels
+        both = pairs.union(pairs.select("b", "a"))
+        parent = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("p")), "cc-parent")
+        moved = True
+        while moved:
+            up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            step = materialize(parent.join(up, "p").select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "cc-parent")
+            moved = step.where("moved").limit(1).count() > 0
+            parent = step.select("v", "p")
+        if out is None:
+            out = parent.withColumnRenamed("p", "component")
+        else:
+            root = parent.select(F.col("v").alias("component"), "p")
+            out = out.join(root, "component", "left").select("v", F.coalesce("p", "component").alias("component"))
+        ends = [parent.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in ("a", "b")]
+        rest = pairs.where("a <> b").join(ends[0], "a").join(ends[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b")
+        pairs = materialize(_pairs(rest), "cc-edges")
+        if pairs.limit(1).count() == 0:
+            return materialize(out, "cc-labels")
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def top_threshold(counts: DataFrame, column: str, most: int) -> int:

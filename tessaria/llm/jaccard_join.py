@@ -11,14 +11,24 @@ children's token bitmaps and their size range), and a dual traversal prunes
 every node pair whose maximum possible overlap is below the threshold.
 Surviving pairs are verified on the exact sets.
 
-Two rounds keep large groups of near copies from making all pairs: the first
-takes a spanning forest of each block's survivors; the second takes every
-survivor, by wider bitmaps, whose documents are still in different components.  A pair left out
-joins two documents that links already connect, so no component changes.
+Rounds keep groups of near copies from making all pairs.  Each takes, of a
+block's surviving pairs, only a spanning forest, the most similar pairs first;
+these are verified on the exact sets, and blocks whose documents are all in one
+component are done.  The first round looks at one block a document, the largest,
+which joins most near copies; the second at all others; the third, with wider
+bitmaps that leave hardly a pair that does not link, at the documents of blocks
+in which a forest left pairs out (those that forests connect are one block now)
+and at the chunk pairs of large groups; the last takes all pairs that are still
+between components there.  A pair left out joins two
+documents that links already connect, so no component changes.
+
+Groups of a token in more than ``BLOCK`` documents are first split by size: a
+document meets those of its own class of sizes and of the next.  Of such a
+group, documents of the largest component meet only the others, in chunks.
 
 Defined cases: null or empty text, or text without words, has the empty set
 and is linked with nothing; fewer words than ``k`` make one shingle; rows that
-share a ``doc_id`` are one document; rows with null ``doc_id`` are a component
+share a ``doc_id`` are one document, that of the smallest text; rows with null ``doc_id`` are a component
 of their own (null).  Shingles are 64-bit hashes.
 """
 
@@ -29,7 +39,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +51,7 @@ BLOCK = 256
 #: Tokens in more documents than this are put last in the order; at most HOT_MOST are (8 bytes each).
 HOT_LEAST, HOT_MOST = 8, 500_000
 #: A bitmap has at least so many bits a token (of the second round's fewer documents more), a power of two between these.
-FIRST, SECOND = 2, 16
+FIRST, SECOND = 1, 16
 LEAST_BITS, MOST_BITS = 512, 1 << 20
 #: Documents whose sets a Python task holds at a time.
 CHUNK = 256
@@ -90,8 +100,8 @@ class Tree:
             )
 
 
-def dual_traversal(a: Tree, b: Tree, num: int, den: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Leaf pairs (i, j) whose maximum possible overlap can still reach num/den of the union.
+def dual_traversal(a: Tree, b: Tree, num: int, den: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf pairs (i, j) whose maximum possible overlap can still reach num/den of the union, and that overlap's share.
 
     A node pair's overlap is at most its larger node's size less the bits that
     every document below it has and no document below the other has.
@@ -108,7 +118,7 @@ def dual_traversal(a: Tree, b: Tree, num: int, den: int = 100) -> tuple[np.ndarr
         keep = (den + num) * most >= num * (lo1 + lo2)
         i, j = i[keep], j[keep]
         if la == 0 and lb == 0 or not len(i):
-            return i, j
+            return i, j, (most / np.maximum(lo1 + lo2, 1))[keep]
         if la:
             la -= 1
             i, j = _children(i, j, a.fan, len(a.levels[la][0]))
@@ -125,7 +135,7 @@ def _children(i, j, fan, size):
 
 
 def _tree_pairs(n, sigs, x, y, num):
-    """Places (i, j) that the trees over documents ``x`` and ``y`` leave; wider bitmaps are folded to the narrower."""
+    """Places (i, j) that the trees over documents ``x`` and ``y`` leave, and the share of the overlap; wider bitmaps are folded to the narrower."""
     width = min(min(len(sigs[i]) for i in x), min(len(sigs[i]) for i in y))
 
     def grown(rows):
@@ -136,8 +146,8 @@ def _tree_pairs(n, sigs, x, y, num):
         return Tree(n[rows], out)
 
     a = grown(x)
-    i, j = dual_traversal(a, a if y is x else grown(y), num)
-    return x[i], y[j]
+    i, j, share = dual_traversal(a, a if y is x else grown(y), num)
+    return x[i], y[j], share
 
 
 def block_pairs(doc, n, comp, sigs, side, num: int, forest: bool) -> tuple[list[tuple[int, int]], bool]:
@@ -150,7 +160,7 @@ def block_pairs(doc, n, comp, sigs, side, num: int, forest: bool) -> tuple[list[
     sigs = [sigs[i] for i in order.tolist()]
     width = np.array([len(s) for s in sigs])
     across = side.min() != side.max()
-    left, right = [], []
+    found = []
     for w in np.unique(width).tolist():
         here = np.flatnonzero(width == w)
         near = np.flatnonzero(width == 2 * w)
@@ -159,20 +169,19 @@ def block_pairs(doc, n, comp, sigs, side, num: int, forest: bool) -> tuple[list[
                 for s in (0, 1) if y is near else (0,):
                     p, q = x[side[x] == s], y[side[y] == 1 - s]
                     if len(p) and len(q):
-                        i, j = _tree_pairs(n, sigs, p, q, num)
-                        left.append(i)
-                        right.append(j)
+                        found.append(_tree_pairs(n, sigs, p, q, num))
             elif len(x) and len(y) and (y is not here or len(x) > 1):
-                i, j = _tree_pairs(n, sigs, x, y, num)
-                left.append(i)
-                right.append(j)
-    if not left:
+                found.append(_tree_pairs(n, sigs, x, y, num))
+    if not found:
         return [], False
-    i, j = np.concatenate(left), np.concatenate(right)
+    i, j, share = (np.concatenate(v) for v in zip(*found))
     keep = (comp[i] != comp[j]) & ((i < j) | across)
-    i, j = i[keep], j[keep]
+    i, j, share = i[keep], j[keep], share[keep]
     if forest:
-        root = list(range(len(doc)))
+        best = np.lexsort((j, i, -share))
+        i, j = i[best], j[best]
+        heads, own = np.unique(comp, return_inverse=True)
+        own, root = own.tolist(), list(range(len(heads)))
 
         def find(v):
             while root[v] != v:
@@ -182,10 +191,12 @@ def block_pairs(doc, n, comp, sigs, side, num: int, forest: bool) -> tuple[list[
 
         out = []
         for p, q in zip(i.tolist(), j.tolist()):
-            a, b = find(p), find(q)
+            a, b = find(own[p]), find(own[q])
             if a != b:
                 root[b] = a
                 out.append((p, q))
+                if len(out) == len(heads) - 1:
+                    break
     else:
         out = list(zip(i.tolist(), j.tolist()))
     return [(int(min(doc[p], doc[q])), int(max(doc[p], doc[q]))) for p, q in out], len(out) < len(i)
@@ -280,7 +291,7 @@ def _sharper(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 sigs = [signature(shingle_set(t, k), SECOND) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["doc", "sig"])
 
-    need = docs.join(small_or_plain(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    need = docs.join(small_or_plain(ids, ids.count()), "doc_id", "left_semi")
     return need.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, schema(doc=LONG, sig=BIN))
 
 
@@ -295,7 +306,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 flat = np.concatenate(s) if s else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["doc", "tokens"])
 
-    need = docs.join(small_or_plain(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    need = docs.join(small_or_plain(ids, ids.count()), "doc_id", "left_semi")
     out = T.StructType([T.StructField("doc", LONG), T.StructField("tokens", T.ArrayType(LONG))])
     return need.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, out)
 
@@ -379,27 +390,75 @@ def _small_blocks(shared: DataFrame) -> DataFrame:
     return lists.select(F.sha2(F.to_json("docs"), 256).alias("block"), F.explode("docs").alias("doc")).withColumn("side", F.lit(0))
 
 
-def _large_blocks(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Blocks of tokens in more than BLOCK documents: each chunk by itself or, with ``comp``, all chunk pairs.
+def _large_groups(shared: DataFrame, members: DataFrame, num: int) -> DataFrame:
+    """(grp, doc, c): documents that share a token of more than BLOCK, in groups by size, and the group's count.
 
-    With ``comp(doc, comp)``, tokens whose documents are in one component by now are left out.
+    Sizes are in classes of ratio ``num``/100, so that documents within the threshold are in one class or neighbours;
+    group g of a token has the classes g and g + 1, and is kept if it has a document of class g.
     """
-    large = shared.where("tok is not null").select("tok", "doc")
-    large = large.join(large.groupBy("tok").agg(F.count(F.lit(1)).alias("c")), "tok")
-    chunks = F.ceil(F.col("c") / BLOCK).cast("int")
-    large = large.withColumn("mine", F.pmod(F.xxhash64("doc", "tok"), chunks).cast("int"))
-    if comp is None:
-        return large.select(F.concat_ws(":", "tok", "mine").alias("block"), "doc", F.lit(0).alias("side"))
-    several = large.join(comp, "doc").groupBy("tok").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l <> h").select("tok")
-    return (
-        large.join(several, "tok")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select(
-            F.concat_ws(":", "tok", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"),
-            "doc",
-            (F.col("mine") > F.col("other")).cast("int").alias("side"),
-        )
+    large = shared.where("tok is not null").select("tok", "doc").join(members.select("doc", "n"), "doc")
+    q = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / num)) + 1e-9)
+    large = large.withColumn("q", q).select("doc", "tok", "q", F.explode(F.array(F.col("q"), F.col("q") - 1)).alias("g"))
+    per = large.groupBy("tok", "g").agg(F.count(F.lit(1)).alias("c"), F.min("q").alias("least")).where("c > 1 and least = g")
+    rows = large.join(per, ["tok", "g"])
+    return rows.select(F.concat_ws("_", "tok", "g").alias("grp"), "doc", "c")
+
+
+def _chunk(c: Column) -> Column:
+    return F.greatest(F.ceil(F.coalesce(c, F.lit(0)) / BLOCK), F.lit(1)).cast("int")
+
+
+def _place(count: Column) -> Column:
+    return F.pmod(F.xxhash64("doc", "grp"), count).cast("int")
+
+
+def _large_chunks(groups: DataFrame) -> DataFrame:
+    """Blocks of large groups: each chunk by itself."""
+    return groups.select(F.concat_ws(":", "grp", _place(_chunk(F.col("c")))).alias("block"), "doc", F.lit(0).alias("side"))
+
+
+def _large_pairs(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """Blocks in which every two documents of a large group meet that are not both in its largest component.
+
+    Documents of the largest component, in chunks, meet each chunk of the others; those meet each other.
+    """
+    rows = groups.join(comp, "doc")
+    per = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("k"))
+    top = per.groupBy("grp").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("c")).where("c > top.k")
+    top = top.select("grp", F.col("top.comp").alias("big"), _chunk(F.col("top.k")).alias("ca"), _chunk(F.col("c") - F.col("top.k")).alias("cs"))
+    rows = rows.join(top, "grp")
+    own = F.col("comp") == F.col("big")
+    big = rows.where(own).withColumn("mine", _place(F.col("ca"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)))
+    big = big.select(F.concat_ws(":", "grp", F.lit("a"), "mine", "other").alias("block"), "doc", F.lit(0).alias("side"))
+    rest = rows.where(~own).withColumn("mine", _place(F.col("cs")))
+    against = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ca") - 1)))
+    against = against.select(F.concat_ws(":", "grp", F.lit("a"), "other", "mine").alias("block"), "doc", F.lit(1).alias("side"))
+    among = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)))
+    among = among.select(
+        F.concat_ws(":", "grp", F.lit("s"), F.least("mine", "other"), F.greatest("mine", "other")).alias("block"),
+        "doc",
+        (F.col("mine") > F.col("other")).cast("int").alias("side"),
     )
+    return big.union(against).union(among)
+
+
+def _regrouped(blocks: DataFrame, comp: DataFrame, roots: DataFrame) -> DataFrame:
+    """Blocks by the components of all pairs that forests took, verified or not, as two documents of a pair left out are in one.
+
+    ``comp(doc, comp)`` and ``roots(v, component)`` of its components.  Documents of such a component of up to BLOCK are one
+    block, instead of one for each token that they share; of a larger one, a block keeps its own.
+    """
+    tried = comp.join(roots.withColumnRenamed("v", "comp"), "comp").select("doc", "component")
+    size = tried.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
+    rows = blocks.join(tried.join(size, "component"), "doc")
+    name = F.when(F.col("c") <= BLOCK, F.concat(F.lit("c:"), "component")).otherwise(F.concat_ws(":", "block", "component"))
+    return rows.select(name.alias("block"), "doc", F.lit(0).alias("side")).distinct()
+
+
+def _several(blocks: DataFrame, members: DataFrame) -> DataFrame:
+    """The blocks that hold more than one component."""
+    per = blocks.join(members.select("doc", "comp"), "doc").groupBy("block").agg(F.min("comp").alias("l"), F.max("comp").alias("h"))
+    return blocks.join(per.where("l <> h").select("block"), "block").select(blocks.columns)
 
 
 def _candidates(blocks: DataFrame, members: DataFrame, num: int, forest: bool) -> DataFrame:
@@ -407,9 +466,7 @@ def _candidates(blocks: DataFrame, members: DataFrame, num: int, forest: bool) -
 
     Of a forest also (null, null, block) for each block that has further pairs.
     """
-    rows = blocks.join(members, "doc")
-    several = blocks.join(members.select("doc", "comp"), "doc").groupBy("block").agg(F.min("comp").alias("l"), F.max("comp").alias("h"))
-    rows = rows.join(several.where("l <> h").select("block"), "block")
+    rows = _several(blocks, members).join(members, "doc")
 
     def trees(batches):
         """Rows come sorted by block; a block is bounded, so one is held at a time."""
@@ -461,38 +518,91 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int = 10
     )
 
 
+def _one_row_an_id(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with the smallest text of each repeated id; only texts of repeated ids are moved."""
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+    several = materialize(several, "jj-repeated")
+    n = several.count()
+    if not n:
+        return docs
+    ids = small_or_plain(several, n)
+    one = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return materialize(docs.join(ids, "doc_id", "left_anti").unionByName(one), "jj-docs")
+
+
+def _owners(scan: DataFrame) -> DataFrame:
+    """(doc, n, sig, rep): every document and the smallest one with its set.
+
+    Sets that a thousandth of all documents or more have are at most 1,000: they are broadcast, so no task gets a large group.
+    """
+    rows = scan.where("kind = 0 and v is not null").select(F.col("v").alias("doc"), "n", "key", "sig")
+    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1"), "jj-class")
+    often = rows.count() / 1000
+    hot = classes.where(F.col("c") >= often).select("key", F.col("rep").alias("hot"))
+    rows = rows.join(F.broadcast(hot), "key", "left")
+    told = rows.where("hot is not null or key is null").select("doc", "n", "sig", F.coalesce("hot", "doc").alias("rep"))
+    rest = rows.where("hot is null and key is not null").join(classes.where(F.col("c") < often).select("key", "rep"), "key", "left")
+    return told.union(rest.select("doc", "n", "sig", F.coalesce("rep", "doc").alias("rep")))
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each distinct non-null ``doc_id``."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = _one_row_an_id(docs.select("doc_id", "text"))
     scan = materialize(_scan(docs, k), "jj-scan")
-    rows = scan.where("kind = 0 and v is not null").select(F.col("v").alias("doc"), "n", "key", "sig").dropDuplicates(["doc"])
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"))
-    owners = materialize(rows.join(classes, "key", "left").select("doc", "n", "sig", F.coalesce("rep", "doc").alias("rep")), "jj-owner")
+    owners = materialize(_owners(scan), "jj-owner")
     extra = materialize(owners.where("doc <> rep or n = 0").select(F.col("doc").alias("doc_id")), "jj-copies")
     alone = docs.join(small_or_plain(extra, extra.count()), "doc_id", "left_anti").where("doc_id is not null")
 
     hot = spark.sparkContext.broadcast(_hot(scan))
     shared = materialize(_shared(_prefix_tokens(alone, k, num, hot), num), "jj-shared")
-    small = materialize(_small_blocks(shared), "jj-blocks")
-    members = owners.where("doc = rep").select("doc", "n", "sig", F.col("doc").alias("comp"))
-    told = materialize(_candidates(small.union(_large_blocks(shared, None)), members, num, True), "jj-pairs")
-    tried = told.where("a is not null").select("a", "b")
-    first = materialize(_verified(tried, docs, k, num), "jj-links")
-    comp = components(first)
-    members = (
-        members.drop("comp").join(comp.withColumnRenamed("v", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    )
-    # Only blocks whose forest left pairs out, and chunk pairs of large groups, have anything new.
-    again = small.join(told.where("block is not null").select("block"), "block").select(small.columns)
-    again = materialize(again.union(_large_blocks(shared, members.select("doc", "comp"))), "jj-again")
+    groups = materialize(_large_groups(shared, owners, num), "jj-groups")
+    blocks = materialize(_small_blocks(shared).union(_large_chunks(groups)), "jj-blocks")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return materialize(_verified(pairs, docs, k, num), "jj-links")
+
+    def contracted(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """Components of pairs of documents as pairs of their components: (v, component)."""
+        ends = [comp.select(F.col("doc").alias(c), F.col("comp").alias(f"c{c}")) for c in ("a", "b")]
+        return components(pairs.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+    def labelled(comp: DataFrame, links: DataFrame) -> DataFrame:
+        """``comp(doc, comp)`` after further links."""
+        if links.limit(1).count() == 0:
+            return comp
+        roots = contracted(links, comp).withColumnRenamed("v", "comp")
+        return materialize(comp.join(roots, "comp", "left").select("doc", F.coalesce("component", "comp").alias("comp")), "jj-comp")
+
+    def told(blocks: DataFrame, comp: DataFrame, sigs: DataFrame, tried: DataFrame | None, forest: bool = True) -> tuple[DataFrame, DataFrame]:
+        """Pairs not tried before, and the blocks whose forest left pairs out."""
+        rows = materialize(_candidates(blocks, sigs.join(comp, "doc"), num, forest), "jj-pairs")
+        pairs = rows.where("a is not null").select("a", "b")
+        pairs = pairs if tried is None else materialize(pairs.join(tried, ["a", "b"], "left_anti"), "jj-fresh")
+        return pairs, rows.where("block is not null").select("block")
+
+    sigs = owners.where("doc = rep").select("doc", "n", "sig")
+    comp = sigs.select("doc", F.col("doc").alias("comp"))
+    # 1: the largest block of each document
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("c"))
+    largest = blocks.join(sizes, "block").groupBy("doc").agg(F.max(F.struct("c", "block")).alias("b")).select("b.block").distinct()
+    tried, _ = told(blocks.join(largest, "block").select(blocks.columns), comp, sigs, None)
+    comp = labelled(comp, verified(tried))
+    # 2: all blocks that still have several components
+    fresh, left = told(blocks, comp, sigs, tried)
+    tried, comp = tried.union(fresh), labelled(comp, verified(fresh))
+    # 3: only documents of blocks whose forest left pairs out, and chunk pairs of large groups, have anything new
+    again = _regrouped(blocks.join(left, "block"), comp, contracted(tried, comp)).union(_large_pairs(groups, comp))
+    again = materialize(_several(again, comp), "jj-again")
     ids = materialize(again.select(F.col("doc").alias("doc_id")).distinct(), "jj-used")
-    members = members.drop("sig").join(materialize(_sharper(docs, ids, k), "jj-sharper"), "doc")
-    fresh = _candidates(again, members, num, False).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    second = materialize(_verified(materialize(fresh, "jj-pairs"), docs, k, num), "jj-links")
-    comp = components(first.union(second))
-    return owners.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
+    sigs = materialize(sigs.drop("sig").join(_sharper(docs, ids, k), "doc"), "jj-sharper")
+    fresh, left = told(again, comp, sigs, tried)
+    tried, comp = tried.union(fresh), labelled(comp, verified(fresh))
+    # 4: what the last forests left out and is still between components
+    last, _ = told(again.join(left, "block").select(again.columns), comp, sigs, tried, False)
+    comp = labelled(comp, verified(last))
+    return owners.join(comp.withColumnRenamed("doc", "rep"), "rep", "left").select(
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id")
     )
 
 
