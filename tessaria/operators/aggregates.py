@@ -66,10 +66,42 @@ def fan_out(df: DataFrame, labels: dict[str, Column], measures: dict[str, Column
 
 
 def renumber(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """Dense numbers of a key by first appearance.  Numbers come from the distinct keys, not from a global sort of rows."""
+    """Dense numbers of a key by first appearance, from its distinct values only; each is numbered by a range of first appearances."""
     first = df.groupBy(key).agg(F.min(order).alias("__o"))
-    numbered = first.withColumn(name, F.dense_rank().over(Window.orderBy("__o")) - 1).drop("__o")
-    return df.join(numbered, key)
+    firsts = first.select("__o").distinct()
+    return df.join(first.join(ranked(firsts, "__o", name), "__o").drop("__o"), key)
+
+
+def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Rows numbered from 0 by a column without repeats: places within ranges, behind the counts of the ranges before."""
+    ranges = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    counts = ranges.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
+    return ranges.join(F.broadcast(counts.select("__p", before.alias("__b"))), "__p").withColumn(name, (place + F.col("__b")).cast("int")).drop("__p", "__b")
+
+
+def medians(df: DataFrame, group: str, value: str, name: str, bins: int = 4096) -> DataFrame:
+    """The exact median of each group (null without values; NaN is not handled apart).
+
+    Values are counted in ``bins`` equal ranges of the group's extent, with
+    map-side aggregation; only the bins in which the middle falls are read
+    again, as distinct values with their counts.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("__v"))
+    extent = rows.groupBy(group).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__all"))
+    at = F.least(F.floor((F.col("__v") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300)) * bins), F.lit(bins - 1)).cast("int")
+    binned = rows.join(extent, group).withColumn("__bin", at)
+    w = Window.partitionBy(group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = binned.groupBy(group, "__bin").agg(F.count(F.lit(1)).alias("__n"), F.first("__all").alias("__all")).withColumn("__upto", F.sum("__n").over(w))
+    low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1  # the middle places, from 1
+    middle = counts.where((F.col("__upto") >= low) & (F.col("__upto") - F.col("__n") < high)).select(group, "__bin", (F.col("__upto") - F.col("__n")).alias("__before"))
+    inside = binned.join(middle, [group, "__bin"]).groupBy(group, "__v").agg(F.count(F.lit(1)).alias("__n"), F.min("__before").alias("__before"), F.first("__all").alias("__all"))
+    first = F.min("__before").over(Window.partitionBy(group))
+    v = Window.partitionBy(group).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("__upto", first + F.sum("__n").over(v))
+    reach = lambda place: F.min(F.when(F.col("__upto") >= place, F.col("__v")))
+    return inside.groupBy(group).agg(((reach(low) + reach(high)) / 2).alias(name))
 
 
 def envelope(df: DataFrame, keys: list[str], x0: str, y0: str, x1: str, y1: str) -> DataFrame:

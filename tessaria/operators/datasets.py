@@ -37,16 +37,34 @@ def bottom_k(df: DataFrame, groups: list[str], key: Column, k: int) -> DataFrame
     return df.withColumn("__k", key).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("__k")
 
 
+def _place(df: DataFrame, group: str, order: list, name: str, parts: int = 64) -> DataFrame:
+    """Places from 1 within a group by ``order``, which has no ties: by ranges of (group, order), so that a large group is in many tasks.
+
+    A range's places stand behind the group's rows in the ranges before it.
+    """
+    ranges = df.repartitionByRange(parts, group, *order).withColumn("__p", F.spark_partition_id())
+    counts = ranges.groupBy(group, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("__p", group).orderBy(*order))
+    counts = counts.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), before.alias("__b"))
+    joined = ranges.withColumn("__own", own).join(counts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return joined.withColumn(name, F.col("__own") + F.col("__b")).drop("__own", "__b", "__p", "__q", "__g")
+
+
 def round_robin(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Rows interleaved over groups: ``turn`` is the place within the group; sort by (turn, group) to deal."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return _place(df, group, order, "turn")
 
 
 def document_limit(df: DataFrame, mode: str, doc: str, size: str, limit: int) -> DataFrame:
-    """Whole documents, alternating over modes, while the total before them is under ``limit``."""
+    """Whole documents, alternating over modes, while the total before them is under ``limit``.
+
+    Sizes are counts, 1 at least, so that a mode's first ``limit`` documents are all that can be within it: the rest goes before any total is made.
+    """
     docs = df.groupBy(mode, doc).agg(F.sum(size).alias("n"))
-    docs = docs.withColumn("turn", F.row_number().over(Window.partitionBy(mode).orderBy(doc)))
-    # Rows of one turn are few; their totals carry over turns, so no global sort of documents is made.
+    few = F.row_number().over(Window.partitionBy(mode).orderBy(doc))  # a group limit is applied map-side
+    docs = docs.withColumn("turn", few).where(F.col("turn") <= limit)
+    # Rows of one turn are few; their totals carry over at most ``limit`` turns.
     turns = docs.groupBy("turn").agg(F.sum("n").alias("t"))
     before = turns.withColumn("before", F.sum("t").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))).drop("t")
     docs = docs.join(before, "turn")
@@ -57,9 +75,9 @@ def document_limit(df: DataFrame, mode: str, doc: str, size: str, limit: int) ->
 
 def fraction_sample(df: DataFrame, group: str, key: Column, fraction: float) -> DataFrame:
     """round(n * fraction) rows of each group by smallest key (ties at .5 go up)."""
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(key))).withColumn("__n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("__r") <= F.floor(F.col("__n") * fraction + 0.5)).drop("__r", "__n")
+    counts = df.groupBy(F.col(group).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = _place(df.withColumn("__k", key), group, ["__k"], "__r").join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("__c")))
+    return ranked.where(F.col("__r") <= F.floor(F.col("__n") * fraction + 0.5)).drop("__r", "__n", "__k", "__c")
 
 
 def leaks(df: DataFrame, family: str, split: str) -> DataFrame:
@@ -70,7 +88,7 @@ def leaks(df: DataFrame, family: str, split: str) -> DataFrame:
 
 def incomplete(df: DataFrame, keys: list[str], index: str) -> DataFrame:
     """Keys whose indices are not exactly 0..n-1."""
-    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(index).alias("least"), F.max(index).alias("most"), F.countDistinct(index).alias("distinct"))
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(index).alias("least"), F.max(index).alias("most"), F.size(F.collect_set(index)).cast("long").alias("distinct"))
     return per.where((F.col("least") != 0) | (F.col("most") != F.col("n") - 1) | (F.col("distinct") != F.col("n")))
 
 

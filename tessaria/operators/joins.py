@@ -42,6 +42,26 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], left_id: str, dist
     return out.select(left_id, *kept, *[F.col("__best")[c].alias(c) for c in others])
 
 
+def nearest_value(left: DataFrame, right: DataFrame, on: list[str], left_id: str, left_value: str, right_id: str, right_value: str) -> DataFrame:
+    """For each left row the right row of the key with the nearest number, ties to the smaller id: left_id, left_value, right_id, right_value.
+
+    Both sides are sorted together once a key; the nearest is the last at or
+    below or the first at or above, so no pairs are made.
+    """
+    none = F.lit(None)
+    a = left.select(*on, F.col(left_value).alias("__v"), F.lit(1).alias("__side"), F.col(left_id).alias("__l"), none.cast(right.schema[right_id].dataType).alias("__r"))
+    per = right.groupBy(*on, F.col(right_value).alias("__v")).agg(F.min(right_id).alias("__r"))  # one row a value
+    b = per.select(*on, "__v", F.lit(0).alias("__side"), none.cast(left.schema[left_id].dataType).alias("__l"), "__r")
+    seen = F.when(F.col("__side") == 0, F.struct(F.col("__v").alias("v"), F.col("__r").alias("r")))
+    w = Window.partitionBy(*on)
+    below = F.last(seen, ignorenulls=True).over(w.orderBy("__v", "__side").rowsBetween(Window.unboundedPreceding, 0))
+    above = F.last(seen, ignorenulls=True).over(w.orderBy(F.desc("__v"), "__side").rowsBetween(Window.unboundedPreceding, 0))
+    rows = a.unionByName(b).withColumn("__a", below).withColumn("__b", above).where("__side = 1")
+    choice = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.v") - F.col("__v")).alias("d"), F.col(f"{c}.r").alias("r"), F.col(f"{c}.v").alias("v")))
+    best = rows.withColumn("__n", F.least(choice("__a"), choice("__b"))).where("__n is not null")
+    return best.select(*on, F.col("__l").alias(left_id), F.col("__v").alias(left_value), F.col("__n.r").alias(right_id), F.col("__n.v").alias(right_value))
+
+
 def interval_overlap(left: DataFrame, right: DataFrame, on: list[str], l0: str, l1: str, r0: str, r1: str, bucket: float, margin: float = 0) -> DataFrame:
     """Pairs with overlapping half-open intervals, joined on buckets; each pair is told in its first common bucket."""
 

@@ -82,6 +82,15 @@ def decompose(span: Column, pieces: list[int]) -> Column:
     return F.aggregate(sizes, start, take, lambda s: F.when(s["left"] == 0, s["out"]))
 
 
+def piece_counts(span: Column, pieces: list[int], prefix: str) -> list[Column]:
+    """How often each of ``pieces`` (descending) is in the greedy decomposition of a length: divisions and remainders only."""
+    out, left = [], span.cast("long")
+    for p in pieces:
+        out.append(F.floor(left / p).alias(f"{prefix}{p}"))
+        left = left % p
+    return out
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, values: list[str]) -> DataFrame:
     """For each left row the values of the last right row with ``since <= at``, by union and one window.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
@@ -103,9 +104,10 @@ def confusion(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, round(median(value), 6) AS median_value, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1")
 def latency_median(spark, sf):
-    """Totals and exact medians."""
+    """Totals and exact medians, by counting values instead of holding them."""
     e = table(spark, sf, "events").select("event_type", "value")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("value"), 6).alias("median_value"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    totals = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    return totals.join(A.medians(e, "event_type", "value", "median_value"), "event_type").select("event_type", "n", F.round("median_value", 6).alias("median_value"), "cents")
 
 
 @query("""
@@ -254,10 +256,15 @@ def json_presence(spark, sf):
     return e.select("event_id", F.coalesce(F.map_contains_key("m", "page"), F.lit(False)).alias("has_page"), F.try_element_at("m", F.lit("page")).alias("page"))
 
 
-# --- folds within bounded groups (rows-only: no SQL equivalent is given) -------
+# --- folds within bounded groups ----------------------------------------------
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id, epoch(date_trunc('second', ts)) AS a, epoch(date_trunc('second', ts)) + 7200 + value * 60 AS b, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, k, true AS taken, [{'a': a, 'b': b}] AS kept FROM o WHERE k = 1 UNION ALL
+  SELECT o.user_id, o.event_id, o.k, t.ok, CASE WHEN t.ok THEN list_append(f.kept, {'a': o.a, 'b': o.b}) ELSE f.kept END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1,
+  LATERAL (SELECT len(list_filter(f.kept, lambda q: greatest(least(q.b, o.b) - greatest(q.a, o.a), 0) / least(q.b - q.a, o.b - o.a) >= 0.5)) = 0 AS ok) t)
+SELECT user_id, event_id FROM f WHERE taken""")
 def nms_1d(spark, sf):
     """Non-maximum suppression of each user's spans."""
     e = table(spark, sf, "events").select("user_id", "event_id", "value", F.unix_timestamp("ts").cast("double").alias("x0"))
@@ -265,26 +272,48 @@ def nms_1d(spark, sf):
     return folds.nms(e, ["user_id"], ["x0", "y0", "x1", "y1"], "value", "event_id", 0.5)
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT l_orderkey, l_linenumber, l_partkey, epoch(l_shipdate)::BIGINT // 86400 AS a, epoch(l_shipdate)::BIGINT // 86400 + l_quantity AS b, l_quantity AS w FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY b, a, l_linenumber, l_partkey) AS k FROM s),
+f AS (SELECT l_orderkey, 0::BIGINT AS k, []::DOUBLE[] AS ends, [{'t': 0::DOUBLE, 'n': 0::BIGINT}] AS best FROM (SELECT DISTINCT l_orderkey FROM o) UNION ALL
+  SELECT o.l_orderkey, o.k, list_append(f.ends, o.b::DOUBLE), list_append(f.best, CASE WHEN t.j.t + o.w > f.best[-1].t THEN {'t': t.j.t + o.w, 'n': t.j.n + 1} ELSE f.best[-1] END) FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.k = f.k + 1,
+  LATERAL (SELECT f.best[len(list_filter(f.ends, lambda e: e <= o.a)) + 1] AS j) t)
+SELECT l_orderkey, best[-1].t AS weight, best[-1].n AS chosen FROM f QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY k DESC) = 1""")
 def weighted_interval(spark, sf):
-    """Heaviest set of disjoint intervals of each order."""
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.col("l_quantity").alias("w"))
-    li = li.withColumn("a", F.floor(F.unix_timestamp("l_shipdate") / 86400)).withColumn("b", F.col("a") + F.col("w"))
-    return folds.weighted_intervals(li, ["l_orderkey"], "a", "b", "w", "l_linenumber")
+    """Heaviest set of disjoint intervals of each order: its weight and size."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", F.col("l_quantity").alias("w"))
+    li = li.withColumn("a", F.floor(F.unix_timestamp("l_shipdate") / 86400)).withColumn("b", F.col("a") + F.col("w")).withColumn("id", F.col("l_linenumber") * 10000000000 + F.col("l_partkey"))
+    return folds.heaviest(li, ["l_orderkey"], "a", "b", "w", "id")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, epoch(date_trunc('second', ts)) AS a, epoch(date_trunc('second', ts)) + 43200 AS b FROM events),
+p AS (SELECT x.user_id, x.event_id AS gold, y.event_id AS found, greatest(least(x.b, y.b) - greatest(x.a, y.a), 0) / (x.b - x.a + y.b - y.a - greatest(least(x.b, y.b) - greatest(x.a, y.a), 0)) AS iou
+  FROM e x JOIN e y ON x.user_id = y.user_id AND x.event_type = 'click' AND y.event_type = 'view'),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY iou DESC, gold, found) AS k FROM p WHERE iou >= 0.5),
+f AS (SELECT user_id, gold, found, iou, k, true AS taken, [gold] AS xs, [found] AS ys FROM o WHERE k = 1 UNION ALL
+  SELECT o.user_id, o.gold, o.found, o.iou, o.k, t.ok, CASE WHEN t.ok THEN list_append(f.xs, o.gold) ELSE f.xs END, CASE WHEN t.ok THEN list_append(f.ys, o.found) ELSE f.ys END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1,
+  LATERAL (SELECT NOT list_contains(f.xs, o.gold) AND NOT list_contains(f.ys, o.found) AS ok) t)
+SELECT user_id, gold, found, round(iou, 9) AS iou FROM f WHERE taken""")
 def iou_match_1d(spark, sf):
     """Greedy one-to-one matches between the spans of two kinds of event."""
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value", F.unix_timestamp("ts").cast("double").alias("x0"))
     e = e.withColumn("x1", F.col("x0") + 43200).withColumn("y0", F.lit(0.0)).withColumn("y1", F.lit(1.0))
-    return folds.match_boxes(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id"], ["x0", "y0", "x1", "y1"], "event_id", 0.5)
+    out = folds.match_boxes(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id"], ["x0", "y0", "x1", "y1"], "event_id", 0.5)
+    return out.withColumn("iou", F.round("iou", 9))
 
 
-@query()
+@query("""
+WITH RECURSIVE n AS (SELECT l_orderkey AS g, l_returnflag AS f, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_quantity) AS i FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+a AS (SELECT * FROM n WHERE f = 'A'), r AS (SELECT * FROM n WHERE f = 'R'), h AS (SELECT g, max(i) AS rows FROM a GROUP BY 1),
+f AS (SELECT g, 0::BIGINT AS i, []::BIGINT[] AS used, 0::BIGINT AS w FROM h UNION ALL
+  SELECT f.g, f.i + 1, CASE WHEN r.i IS NULL THEN f.used ELSE list_append(f.used, r.i) END, f.w + coalesce(60 - abs(a.q - r.q), 0) FROM f JOIN a ON a.g = f.g AND a.i = f.i + 1 LEFT JOIN (SELECT g, i, q FROM r UNION ALL SELECT g, NULL, NULL FROM h) r ON r.g = f.g
+  WHERE r.i IS NULL OR NOT list_contains(f.used, r.i))
+SELECT f.g, max(f.w) AS weight FROM f JOIN h ON h.g = f.g AND h.rows = f.i GROUP BY 1 HAVING max(f.w) > 0""")
 def optimal_assignment(spark, sf):
-    """Maximum-weight one-to-one assignment within a nation."""
-    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
-    edges = s.join(c, "nation").withColumn("w", F.greatest(F.lit(0.0), 1000 - F.abs(F.col("s_acctbal") - F.col("c_acctbal"))))
-    return folds.assignment(edges, ["nation"], "s_suppkey", "c_custkey", "w")
+    """Maximum-weight one-to-one assignment between two short lists of a key: its weight."""
+    w = Window.partitionBy("g", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    n = table(spark, sf, "lineitem").where("l_returnflag in ('A', 'R')").withColumn("g", F.col("l_orderkey")).withColumn("i", F.row_number().over(w)).select("g", "l_returnflag", "i", F.col("l_quantity").cast("long").alias("q"))
+    a, r = (n.where(F.col("l_returnflag") == f).select("g", F.col("i").alias(i), F.col("q").alias(q)) for f, i, q in (("A", "x", "qa"), ("R", "y", "qr")))
+    edges = a.join(r, "g").withColumn("w", (60 - F.abs(F.col("qa") - F.col("qr"))).cast("double"))
+    return folds.assignment(edges, ["g"], "x", "y", "w").groupBy("g").agg(F.sum("w").cast("long").alias("weight"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import nearest_value
 from ..sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -135,12 +136,11 @@ def union_sources(spark, sf):
 SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(c_acctbal - s_acctbal), c_custkey) AS a,
   row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE a = 1 AND b = 1""")
 def mutual_best(spark, sf):
-    """Pairs that are each other's best."""
+    """Pairs that are each other's best, from one sorted pass each way."""
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
-    p = s.join(c, "nation").withColumn("d", F.abs(F.col("c_acctbal") - F.col("s_acctbal"))).select("s_suppkey", "c_custkey", "d")
-    left = p.groupBy("s_suppkey").agg(F.min(F.struct("d", "c_custkey")).alias("x")).select("s_suppkey", "x.c_custkey")
-    right = p.groupBy("c_custkey").agg(F.min(F.struct("d", "s_suppkey")).alias("x")).select("x.s_suppkey", "c_custkey")
+    left = nearest_value(s, c, ["nation"], "s_suppkey", "s_acctbal", "c_custkey", "c_acctbal").select("s_suppkey", "c_custkey")
+    right = nearest_value(c, s, ["nation"], "c_custkey", "c_acctbal", "s_suppkey", "s_acctbal").select("s_suppkey", "c_custkey")
     return left.join(right, ["s_suppkey", "c_custkey"])
 
 

@@ -87,8 +87,7 @@ def nearest_numeric(spark, sf):
     """The nearest row within an equi-key, ties to the smaller id."""
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
-    d = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    out = J.nearest(s, c, ["nation"], "s_suppkey", [d, F.col("c_custkey")])
+    out = J.nearest_value(s, c, ["nation"], "s_suppkey", "s_acctbal", "c_custkey", "c_acctbal")
     return out.select("s_suppkey", "c_custkey", F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2).alias("distance"))
 
 

@@ -144,12 +144,8 @@ SELECT l_orderkey, gap_start, gap, gap // 32 AS n32, (gap % 32) // 16 AS n16, (g
 def gap_fill(spark, sf):
     """Gaps between spans, decomposed greedily into powers of two."""
     g = O.gaps(spans(spark, sf), ["l_orderkey"], ["a", "l_linenumber"], "a", "b")
-    g = g.withColumn("gap", F.col("gap_end") - F.col("gap_start")).withColumn("p", O.decompose(F.col("gap"), [32, 16, 8, 4, 2, 1]))
-
-    def count(size: int):
-        return F.size(F.filter("p", lambda x: x == size)).cast("long").alias(f"n{size}")
-
-    return g.select("l_orderkey", "gap_start", "gap", *[count(s) for s in (32, 16, 8, 4, 2, 1)])
+    g = g.withColumn("gap", F.col("gap_end") - F.col("gap_start"))
+    return g.select("l_orderkey", "gap_start", "gap", *O.piece_counts(F.col("gap"), [32, 16, 8, 4, 2, 1], "n"))
 
 
 @query(

@@ -65,3 +65,34 @@ def test_small_searches():
     assert folds.cluster_rows([0, 1, 50, 2], [10, 11, 60, 9]) == [0, 0, 1, 0]
     assert folds.cover_ranges([5, 1, 3, 9], 4) == [1, 5, 9]
     assert folds.diverse([{"a"}, {"a"}, {"b"}], [0, 0, 0], 2) == [0, 2]
+
+
+def test_null_keys_are_one_group(spark):
+    from tessaria.operators import folds
+
+    rows = [(k, i, float(9 - i), 0.0, 0.0, 10.0, 1.0) for k in (None, "a") for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, id long, score double, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(folds.nms(df, ["k"], ["x0", "y0", "x1", "y1"], "score", "id").collect(), key=str) == [("a", 0), (None, 0)]
+    numbers = df.withColumn("k", df["id"] * 0 + 7).unionByName(df.withColumn("k", df["id"].cast("string").try_cast("long") + None))
+    assert folds.nms(numbers.withColumn("id", numbers["id"] + 1), ["k"], ["x0", "y0", "x1", "y1"], "score", "id").count() == 2
+
+
+def test_medians_places_and_ranks(spark):
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from tessaria.operators import aggregates, datasets
+
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g in "abc" for v in rng.choice([0.0, 1.5, 2.25, -3.0, 1e6, 7.125], int(rng.integers(1, 60)))] + [("d", None), ("e", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.m for r in aggregates.medians(df, "g", "v", "m").collect()}
+    assert got == {g: statistics.median([v for h, v in rows if h == g]) for g in "abce"}
+    some = spark.range(500).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("k"))
+    by = {}
+    for r in datasets.round_robin(some, "g", ["k"]).collect():
+        by.setdefault(r.g, []).append((r.k, r.turn))
+    assert all([t for _, t in sorted(v)] == list(range(1, len(v) + 1)) for v in by.values())
+    numbered = aggregates.ranked(some.select("k"), "k", "n").collect()
+    assert [r.n for r in sorted(numbered, key=lambda r: r.k)] == list(range(500))
