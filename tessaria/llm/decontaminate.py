@@ -19,8 +19,9 @@ rows), each a pass over the documents.  No document row is shuffled.
 Defined cases: null or empty texts have no shingle, match nothing and stay;
 a text of fewer than ``k`` words is one shingle of its whole sequence, which
 also lets a document that *is* a short item match it; a short item inside a
-longer document is looked for as a phrase of its own length; repeated items
-and documents are each reported; null ids are reported as they are.
+longer document is looked for as a phrase of its own length; repeated rows of
+an item count once, repeated documents are each reported; ids are integers, and
+null ids are reported as they are.
 """
 
 from __future__ import annotations
@@ -164,7 +165,8 @@ def _searched(index: ItemIndex, column):
 
 
 def _item_blocks(items: DataFrame, most: int):
-    """The items in blocks of about ``most``, one at a time."""
+    """The items, repeated rows once, in blocks of about ``most``, one at a time."""
+    items = items.select("item_id", "text").distinct()
     n = items.count()
     blocks = max(1, -(-n // most))
     for b in range(blocks):

@@ -5,8 +5,8 @@ string's anchor is the leftmost of its 32-byte substrings with the smallest
 hash; equal strings have equal anchors at equal offsets, so the anchors deal
 the suffixes out without loss: all starts of a document that share an anchor
 occurrence are one interval, and an interval with the bytes it reaches is a
-context.  Contexts that are equal byte for byte are told by their first
-occurrence.  Where one anchor has several distinct contexts, their suffixes
+context.  Contexts that are equal by two 64-bit hashes are told by their
+first occurrence.  Where one anchor has several distinct contexts, their suffixes
 are ordered by the difference-cover algorithm (sampled triples are sorted and
 named, names recursed on, the remaining suffixes merged in), and neighbours
 with equal 100-byte prefixes are found by comparing adjacent prefixes.
@@ -20,7 +20,7 @@ map-side aggregation.  Each text is shuffled twice, by ``doc_id``.
 Defined cases: null and empty texts have no bytes; texts under 100 bytes keep
 them; rows that share a ``doc_id`` are one document, none earlier than the
 other; rows with null ``doc_id`` are left whole and are nobody's earlier
-occurrence.
+occurrence; ids are integers.
 """
 
 from __future__ import annotations
