@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -62,16 +62,33 @@ def carry_forward(rows: DataFrame) -> DataFrame:
 
 
 def last_wins(journal: DataFrame, key: str, order: str, into: str, checkpoint: str):
-    """Keep ``into`` (Parquet) at the last row of each key; every micro-batch writes a new immutable version."""
-    spark = journal.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        old = f"{into}/v{number - 1}"
-        rows = batch
-        if number:
-            rows = spark.read.parquet(old).unionByName(batch)
-        others = [c for c in rows.columns if c != key]
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("r")).select(key, "r.*")
-        newest.select(*batch.columns).write.mode("overwrite").parquet(f"{into}/v{number}")
-
-    return journal.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+    """Keep in ``into`` (Parquet) the last row of each key of every micro-batch; :func:`newest` reads the last of all.
+
+    A batch writes only its own rows, to a folder of its number, so a batch that
+    is run again replaces what it wrote, and none costs more than its rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        others = [c for c in batch.columns if c != key]
+        rows = batch.groupBy(key).agg(F.max(F.struct(order, *[c for c in others if c != order])).alias("r"))
+        rows.select(key, *[F.col("r")[c].alias(c) for c in others]).write.mode("overwrite").parquet(f"{into}/batch={number}")
+
+    return journal.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def newest(spark: SparkSession, into: str, key: str, order: str) -> DataFrame:
+    """The last row of each key by ``order``, then by batch."""
+    rows = spark.read.parquet(into)
+    others = [c for c in rows.columns if c not in (key, "batch")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(order, "batch")).alias("r"))
+    return last.select(key, "r.*")
+
+
+def compact(spark: SparkSession, into: str, out: str, key: str, order: str) -> None:
+    """Write the last row of each key as the first batch of a new folder; readers move when it is done."""
+    newest(spark, into, key, order).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+
+def relanes(records: DataFrame, changed: DataFrame, lane: list[str]) -> DataFrame:
+    """The records of the lanes that hold a changed record: all that one change can alter, to be assembled again."""
+    return records.join(changed.select(*lane).distinct(), lane, "left_semi")

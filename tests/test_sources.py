@@ -80,4 +80,55 @@ def test_last_wins(spark, tmp_path):
     q = live.last_wins(stream, "k", "ord", str(tmp_path / "out"), str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()} == {1: "c", 2: "b"}
+    assert {r.k: r.v for r in live.newest(spark, str(tmp_path / "out"), "k", "ord").collect()} == {1: "c", 2: "b"}
+    assert spark.read.parquet(str(tmp_path / "out" / "batch=1")).count() == 1  # only its own rows
+    live.compact(spark, str(tmp_path / "out"), str(tmp_path / "new"), "k", "ord")
+    assert live.newest(spark, str(tmp_path / "new"), "k", "ord").count() == 2
+
+
+def test_streamed_sessions_and_distinct_events(spark, tmp_path):
+    df = spark.sql("select timestamp_seconds(60 * (id + 100 * floor(id / 5))) ts, 'u' u, id % 7 k from range(10)")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    for name, rows, mode in (("sessioned", live.sessions(stream, "ts", "10 minutes", ["u"]), "complete"), ("once", live.deduplicated(stream, "k", "ts", "10 days"), "append")):
+        q = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+    assert [r.n for r in spark.table("sessioned").collect()] == [5, 5]
+    assert sorted(r.k for r in spark.table("once").collect()) == list(range(7))
+
+
+def test_labels_songs_and_sides(spark, tmp_path):
+    (tmp_path / "labels").mkdir()
+    for n in "ba":
+        (tmp_path / "labels" / f"{n}.json").write_text(json.dumps({"source_id": n, "family": "f"}))
+    got = records.read_labels(spark, str(tmp_path / "labels"), "source_id string, family string").collect()
+    assert sorted((r.source_id, r.source_path) for r in got) == [("a", "a.json"), ("b", "b.json")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.json").write_text("")
+    import pytest
+
+    with pytest.raises(ValueError):
+        records.read_labels(spark, str(tmp_path / "none"), "source_id string")
+    (tmp_path / "songs").mkdir()
+    for n, (text, code) in {"1": ("é日", "utf-8"), "2": ("日本", "gbk"), "3": ("caf\xe9 ", "cp1252")}.items():
+        (tmp_path / "songs" / n).write_bytes(text.encode(code))
+    got = {r.path[-1]: (r.text, r.encoding) for r in records.read_song_texts(spark, str(tmp_path / "songs")).collect()}
+    assert got["1"] == ("é日", "utf-8") and got["2"] == ("日本", "gbk") and len(got) == 3
+    rows = spark.createDataFrame([(1,), (2,)], "id int")
+    side = spark.createDataFrame([(1, None, True)], "id int, t string, b boolean")
+    assert {tuple(r) for r in records.with_auxiliary(rows, side, "id", {"t": "{}", "b": False}).collect()} == {(1, "{}", True), (2, "{}", False)}
+    ready = spark.createDataFrame([(1, "a", 5), (2, "b", 9)], "id int, title string, updated int")
+    jobs = spark.createDataFrame([(2, "b", 1), (3, "c", 7)], "id int, title string, updated int")
+    assert [(r.id, r.status) for r in records.sessions(ready, jobs).collect()] == [(2, "ready"), (3, "importing"), (1, "ready")]
+
+
+def test_packed_samples_and_merged_coco(spark, tmp_path):
+    rows = [("b.png", "train", 1), ("a.png", "train", 2), ("a.png", "train", 3), ("c.png", "dev", 4), ("d.png", "dev", 5), ("d.png", "train", 6)]
+    leaks = records.pack(spark.createDataFrame(rows, "image string, split string, v int"), str(tmp_path / "out"))
+    assert [tuple(r) for r in leaks.collect()] == [("d.png", ["dev", "train"])]
+    got = spark.read.json(str(tmp_path / "out"))
+    assert sorted((r.image, r.id, r.split) for r in got.collect()) == [("a.png", 0, "train"), ("b.png", 1, "train"), ("c.png", 2, "dev")]
+    one = spark.createDataFrame([(1, 0.5)], "category_id int, x double"), spark.createDataFrame([(1, "bar"), (2, "clef")], "category_id int, name string")
+    two = spark.createDataFrame([(1, 1.5), (2, 2.5)], "category_id int, x double"), spark.createDataFrame([(1, "staff"), (2, "bar")], "category_id int, name string")
+    assert sorted((r.x, r.label, r.category_id) for r in records.merge_coco([one, two]).collect()) == [(0.5, "bar", 1), (1.5, "staff", 2), (2.5, "bar", 1)]
