@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import ranked
+
 
 def hash_bucket(col: Column, buckets: int = 10) -> Column:
     """The first 32 bits of a SHA-256, modulo ``buckets``."""
@@ -80,6 +82,35 @@ def fraction_sample(df: DataFrame, group: str, key: Column, fraction: float) ->
     return ranked.where(F.col("__r") <= F.floor(F.col("__n") * fraction + 0.5)).drop("__r", "__n", "__k", "__c")
 
 
+def stratified(tagged: DataFrame, source: str, tag: str, least: int = 3) -> DataFrame:
+    """(source, split): about 80/10/10, and every tag of ``least`` sources or more has one in validation and, if others are left, one in test.
+
+    Of each such tag the source with the smallest hash is held out, first for
+    validation, then for test; the rest fills both to a tenth by hash.  Sources
+    are given once a tag (source, tag).
+    """
+
+    def smallest(rows, kind):
+        return rows.groupBy(tag).agg(F.min(F.struct(keyed(kind).alias("h"), source)).alias("m")).select(f"m.{source}").distinct()
+
+    def keyed(kind):
+        return F.sha2(F.concat(F.lit(f"{kind}:"), F.col(source).cast("string")), 256)
+
+    sources = tagged.select(source).distinct()
+    often = tagged.groupBy(tag).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select(tag)
+    rows = tagged.join(often, tag)
+    validation = smallest(rows, "validation")
+    test = smallest(rows.join(validation, source, "left_anti"), "test")
+    rest = sources.join(validation.union(test), source, "left_anti")
+    n, v, t = (x.count() for x in (sources, validation, test))
+    tenth = int(n / 10 + 0.5)
+    more_v, more_t = max(tenth - v, 0), max(tenth - t, 0)
+    placed = ranked(rest.withColumn("__h", F.struct(keyed("rest"), source)), "__h", "__k")
+    split = F.when(F.col("__k") < more_v, "validation").when(F.col("__k") < more_v + more_t, "test").otherwise("train")
+    held = [x.withColumn("split", F.lit(k)) for x, k in ((validation, "validation"), (test, "test"))]
+    return held[0].union(held[1]).union(placed.select(source, split.alias("split")))
+
+
 def leaks(df: DataFrame, family: str, split: str) -> DataFrame:
     """Families in more than one split; empty when the split is sound."""
     per = df.groupBy(family).agg(F.array_sort(F.collect_set(split)).alias("splits"))
