@@ -66,6 +66,20 @@ DRUMS = {
     "normal": {0: 35, 1: 36, 2: 43, 3: 45, 4: 47, 5: 38, 6: 48, 7: 50}, "diamond": {5: 38, 8: 53}, "x": {-1: 44, 5: 37, 8: 51, 9: 42, 10: 55},
     "circle-x": {9: 46}, "circle-slash": {9: 46}, "heavy-x": {9: 57, 10: 49}, "heavy-x-hat": {11: 52}, "triangle-up": {5: 54, 7: 56, 8: 56, 9: 56},
 }
+# The form of a capo mark, and the phrases of a stated transposition.
+CAPO_MARK = (
+    r"(?iU)^\s*(?:capo|capodastro|capotasto|变调夹)\s*[:=.]?\s*(?:(?:at|on)\s+)?(?:fret\s+)?([0-9]{1,2}|[IVX]{1,5})(?:st|nd|rd|th)?\s*(?:fret|品)?\s*$"
+)
+TRANSPOSE_PHRASE = r"^(?:transpose|written to sounding:)\s*([+-]?[0-9]+)\s+semitones?$"
+SOUNDS_PHRASE = r"^sounds\s+([0-9]+)\s+semitones?\s+(?:lower|higher)$"
+CONCERT_PHRASES = ("concert pitch", "at concert pitch")
+# Parts of a chord symbol, and the texts for no chord.
+CHORD_SIGN = "(?:##|bb|#|b|x)?"
+CHORD_ROOT = f"(?:[A-Ha-h]{CHORD_SIGN}|{CHORD_SIGN}(?:[IViv]+|[1-7]))"
+CHORD_QUALITY = r"(?:[mM]aj|[mM]in|dim|aug|sus|dom|m|M|\+|-|°|ø|Δ|o)?"
+CHORD_EXTENSION = "(?:2|4|5|6|7|9|11|13)"
+CHORD_MODIFIER = "(?:[#b](?:5|6|7|9|11|13)|(?:[mM]aj|M)(?:7|9|11|13)|(?:sus|add|omit|no)(?:2|3|4|5|6|7|9|11|13)|alt)"
+NO_CHORD = ("nc", "n.c", "n.c.", "nochord")
 STEPS = "FCGDAEB"
 
 
@@ -92,8 +106,7 @@ def octave_mark(text: Column) -> Column:
 
 def capo_fret(text: Column) -> Column:
     """Fret 0 to 24 (Roman: 1 to 24) of a capo mark."""
-    mark = r"(?iU)^\s*(?:capo|capodastro|capotasto|变调夹)\s*[:=.]?\s*(?:(?:at|on)\s+)?(?:fret\s+)?([0-9]{1,2}|[IVX]{1,5})(?:st|nd|rd|th)?\s*(?:fret|品)?\s*$"
-    label = F.upper(F.regexp_extract(text, mark, 1))
+    label = F.upper(F.regexp_extract(text, CAPO_MARK, 1))
     ones = ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")
     roman = {"X" * (n // 10) + ones[n % 10]: n for n in range(1, 25)}
     number = label.try_cast("int")
@@ -107,13 +120,13 @@ def octave_convention(name: Column) -> Column:
 def stated_transposition(name: Column) -> Column:
     """Semitones from written to sounding that a phrase states, -36 to 36."""
     text = F.regexp_replace(F.replace(squeeze(name), F.lit("−"), F.lit("-")), r"\.+$", "")
-    own = F.regexp_extract(text, r"^(?:transpose|written to sounding:)\s*([+-]?[0-9]+)\s+semitones?$", 1).try_cast("int")
-    by = F.regexp_extract(text, r"^sounds\s+([0-9]+)\s+semitones?\s+(?:lower|higher)$", 1).try_cast("int")
+    own = F.regexp_extract(text, TRANSPOSE_PHRASE, 1).try_cast("int")
+    by = F.regexp_extract(text, SOUNDS_PHRASE, 1).try_cast("int")
     by = F.when(text.endswith("lower"), -by).otherwise(by)
     flat = F.regexp_replace(F.replace(text, F.lit("♭"), F.lit("b")), r"\b([a-g])[ -]flat\b", "$1b")
     in_key = [F.when(flat.rlike(f"^(?:{i} in {k}|{k} {i})$"), n) for i, k, n in TRANSPOSING]
     within = [F.when(x.between(-36, 36), x) for x in (own, by)]
-    return F.coalesce(F.when(text.isin("concert pitch", "at concert pitch"), 0), octave_convention(text), *within, *in_key)
+    return F.coalesce(F.when(text.isin(*CONCERT_PHRASES), 0), octave_convention(text), *within, *in_key)
 
 
 def default_tuning(instrument: Column, strings: Column) -> Column:
@@ -280,17 +293,13 @@ def compatible(s: pd.Series) -> pd.Series:
 
 def is_chord(name: Column) -> Column:
     """Whether a text is a chord symbol: root, quality, extension, at most four modifiers, a bracket, a bass; no modifier twice in a row."""
-    sign = "(?:##|bb|#|b|x)?"
-    root = f"(?:[A-Ha-h]{sign}|{sign}(?:[IViv]+|[1-7]))"
-    ext = "(?:2|4|5|6|7|9|11|13)"
-    mod = "(?:[#b](?:5|6|7|9|11|13)|(?:[mM]aj|M)(?:7|9|11|13)|(?:sus|add|omit|no)(?:2|3|4|5|6|7|9|11|13)|alt)"
-    quality = r"(?:[mM]aj|[mM]in|dim|aug|sus|dom|m|M|\+|-|°|ø|Δ|o)?"
-    inner = f"(?:{mod}|{ext}?)"
-    whole = rf"^{root}{quality}{ext}?(?:M|\+|-|°|ø)?{mod}{{0,4}}(?:\({inner}(?:,?{inner}){{0,3}}\))?(?:/(?:{root}|9|11|13))?$"
+    inner = f"(?:{CHORD_MODIFIER}|{CHORD_EXTENSION}?)"
+    bracket, bass = rf"(?:\({inner}(?:,?{inner}){{0,3}}\))?", f"(?:/(?:{CHORD_ROOT}|9|11|13))?"
+    whole = rf"^{CHORD_ROOT}{CHORD_QUALITY}{CHORD_EXTENSION}?(?:M|\+|-|°|ø)?{CHORD_MODIFIER}{{0,4}}{bracket}{bass}$"
     twice = r"((?:[#b]|sus|add|omit|no)(?:11|13|[2345679]))\1(?![0-9])"
     text = F.translate(F.regexp_replace(compatible(name), r"(?U)\s+", ""), "♭♯", "b#")
     text = F.replace(F.replace(text, F.lit("major"), F.lit("maj")), F.lit("minor"), F.lit("min"))
-    return F.lower(text).isin("nc", "n.c", "n.c.", "nochord") | (text.rlike(whole) & ~text.rlike(twice))
+    return F.lower(text).isin(*NO_CHORD) | (text.rlike(whole) & ~text.rlike(twice))
 
 
 def file_name(title: Column, fallback: Column, suffix: str = ".gp5", most: int = 160, unnamed: str = "score") -> Column:
