@@ -63,17 +63,34 @@ def nearest_value(left: DataFrame, right: DataFrame, on: list[str], left_id: str
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, on: list[str], l0: str, l1: str, r0: str, r1: str, bucket: float, margin: float = 0) -> DataFrame:
-    """Pairs with overlapping half-open intervals, joined on buckets; each pair is told in its first common bucket."""
+    """Pairs with overlapping half-open intervals, joined on buckets of doubling width.
 
-    def buckets(df, a, b, m):
-        lo, hi = F.floor((F.col(a) - m) / bucket), F.floor((F.col(b) + m) / bucket)
-        return df.withColumn("__first", lo).withColumn("__b", F.explode(F.sequence(lo, hi)))
+    An interval's own level is the first whose buckets are as wide as it, so it
+    lies in two of them at most; it also stands in its buckets of the levels
+    above.  Two intervals meet at the higher of their levels, in their first
+    common bucket: a long interval costs a row or two a level, not one a bucket.
+    """
+
+    def level(lo, hi):
+        return F.greatest(F.ceil(F.log2(F.greatest(hi - lo, F.lit(1e-300)) / bucket)), F.lit(0)).cast("int")
+
+    def sides(df, a, b, m):
+        return F.col(a) - m, F.col(b) + m
+
+    spans = [(left, *sides(left, l0, l1, margin), "l"), (right, *sides(right, r0, r1, 0), "r")]
+    top = max((df.agg(F.max(level(lo, hi))).first()[0] or 0) for df, lo, hi, _ in spans)
+
+    def buckets(df, lo, hi, tag):
+        at = lambda x, k: F.floor(x / (F.pow(F.lit(2.0), k) * bucket)).cast("long")
+        each = F.transform(F.sequence(level(lo, hi), F.lit(top)), lambda k: F.struct(k.alias("k"), at(lo, k).alias("first"), at(hi, k).alias("last")))
+        rows = df.withColumn(f"__own_{tag}", level(lo, hi)).withColumn("__x", F.explode(each))
+        rows = rows.withColumn("__level", F.col("__x.k")).withColumn(f"__first_{tag}", F.col("__x.first"))
+        return rows.withColumn("__b", F.explode(F.sequence(F.col("__x.first"), F.col("__x.last")))).drop("__x")
 
-    a = buckets(left, l0, l1, margin).withColumnRenamed("__first", "__lf")
-    b = buckets(right, r0, r1, 0).withColumnRenamed("__first", "__rf")
-    once = F.col("__b") == F.greatest("__lf", "__rf")
+    a, b = (buckets(*x) for x in spans)
+    once = (F.col("__level") == F.greatest("__own_l", "__own_r")) & (F.col("__b") == F.greatest("__first_l", "__first_r"))
     meet = (F.col(l0) - margin < F.col(r1)) & (F.col(r0) < F.col(l1) + margin)
-    return a.join(b, [*on, "__b"]).where(once & meet).drop("__b", "__lf", "__rf")
+    return a.join(b, [*on, "__level", "__b"]).where(once & meet).drop("__level", "__b", "__own_l", "__own_r", "__first_l", "__first_r")
 
 
 def point_in_interval(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, bucket: float) -> DataFrame:

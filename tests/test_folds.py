@@ -96,3 +96,16 @@ def test_medians_places_and_ranks(spark):
     assert all([t for _, t in sorted(v)] == list(range(1, len(v) + 1)) for v in by.values())
     numbered = aggregates.ranked(some.select("k"), "k", "n").collect()
     assert [r.n for r in sorted(numbered, key=lambda r: r.k)] == list(range(500))
+
+
+def test_overlaps_of_short_and_very_long_intervals(spark):
+    from tessaria.operators import joins
+
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 2)), i, float(a), float(a + n)) for i, (a, n) in enumerate(zip(rng.integers(-50, 500, 60), rng.choice([1, 2, 7, 30, 400, 100000], 60)))]
+    df = spark.createDataFrame(rows, "p int, i long, a double, b double")
+    other = df.selectExpr("p", "i as j", "a as c", "b as d")
+    for margin in (0, 5):
+        got = sorted((r.i, r.j) for r in joins.interval_overlap(df, other, ["p"], "a", "b", "c", "d", 4, margin).collect())
+        assert got == sorted((x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[2] - margin < y[3] and y[2] < x[3] + margin)
+    assert joins.interval_overlap(df.limit(0), other, ["p"], "a", "b", "c", "d", 4).count() == 0
