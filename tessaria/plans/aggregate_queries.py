@@ -235,7 +235,7 @@ def completeness_gate(spark, sf):
 SELECT k, 'missing' AS side FROM (SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem)
 UNION ALL SELECT k, 'extra' FROM (SELECT l_orderkey AS k FROM lineitem EXCEPT SELECT o_orderkey FROM orders)""")
 def set_algebra(spark, sf):
-    """Keys of one side only."""
+    """Keys of one side only."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     return D.symmetric_difference(o, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")), ["k"])
 
@@ -266,7 +266,7 @@ f AS (SELECT user_id, event_id, k, true AS taken, [{'a': a, 'b': b}] AS kept FRO
   LATERAL (SELECT len(list_filter(f.kept, lambda q: greatest(least(q.b, o.b) - greatest(q.a, o.a), 0) / least(q.b - q.a, o.b - o.a) >= 0.5)) = 0 AS ok) t)
 SELECT user_id, event_id FROM f WHERE taken""")
 def nms_1d(spark, sf):
-    """Non-maximum suppression of each user's spans."""
+    """Non-maximum suppression of each user's spans."""
     e = table(spark, sf, "events").select("user_id", "event_id", "value", F.unix_timestamp("ts").cast("double").alias("x0"))
     e = e.withColumn("x1", F.col("x0") + 7200 + F.col("value") * 60).withColumn("y0", F.lit(0.0)).withColumn("y1", F.lit(1.0))
     return folds.nms(e, ["user_id"], ["x0", "y0", "x1", "y1"], "value", "event_id", 0.5)

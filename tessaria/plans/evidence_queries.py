@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice < 20000 THEN 'small_total' END, CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'O' THEN 'urgent_open' END,
   CASE WHEN month(o_orderdate) = 12 THEN 'december' END], lambda x: x IS NOT NULL), ',') AS errors FROM orders""")
 def validation_codes(spark, sf):
-    """All codes of a row, in order."""
+    """All codes of a row, in order."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "o_orderdate")
     codes = F.array(
         F.when(F.col("o_totalprice") < 20000, "small_total"),
@@ -71,7 +71,7 @@ WITH d AS (SELECT d.lang, d.n_chars, l.quality FROM documents d JOIN labels l US
 r AS (SELECT lang, n_chars, sum(n) OVER w AS n, sum(h) OVER w AS h FROM g WINDOW w AS (PARTITION BY lang ORDER BY n_chars DESC ROWS UNBOUNDED PRECEDING))
 SELECT lang, max(n)::BIGINT AS accepted, min(n_chars) AS threshold FROM r WHERE h >= 0.8 * n GROUP BY lang""")
 def threshold_selection(spark, sf):
-    """The largest confidence prefix of precision 0.8 or more, on whole ties."""
+    """The largest confidence prefix of precision 0.8 or more, on whole ties."""
     from ..operators.ordered import running_precision
 
     d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
@@ -192,7 +192,7 @@ def unique_candidate(spark, sf):
 WITH t AS (SELECT conv_id, turn, role, lag(role) OVER w AS before, row_number() OVER w AS k FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role))
 SELECT conv_id, count(*) AS turns, bool_or(role = before) AS repeats_role, min(turn)::BIGINT AS first_turn FROM t GROUP BY 1""")
 def sequence_contract(spark, sf):
-    """Order checks within a sequence."""
+    """Order checks within a sequence."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role")
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role").withColumn("before", F.lag("role").over(w))
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.bool_or(F.col("role") == F.col("before")).alias("repeats_role"), F.min("turn").cast("long").alias("first_turn"))

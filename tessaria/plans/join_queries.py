@@ -27,7 +27,7 @@ l AS (SELECT user_id, event_type, day + 1 AS day, min(event_id) AS from_id FROM
 r AS (SELECT user_id, event_type, day, min(event_id) AS to_id FROM e GROUP BY 1, 2, 3 HAVING count(*) = 1)
 SELECT user_id, event_type, day, from_id, to_id FROM l JOIN r USING (user_id, event_type, day)""")
 def mutual_unique_adjacent(spark, sf):
-    """An event and the one of the next day, each the other's only match."""
+    """An event and the one of the next day, each the other's only match."""
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
     left = e.select("user_id", "event_type", F.date_add("day", 1).alias("day"), F.col("event_id").alias("from_id"))
     return J.mutual_unique(left, e.withColumnRenamed("event_id", "to_id"), ["user_id", "event_type", "day"], "from_id", "to_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exchange
 from ..operators import datasets as D
+from ..operators import folds
 from ..sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -126,6 +127,32 @@ def endpoint_candidates(spark, sf):
     return p.groupBy("page", "owner").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("m")).select("page", "owner", F.when(F.col("n") == 1, F.col("m")).alias("id"), "n")
 
 
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id, CASE WHEN event_type IN ('click', 'view') THEN 'text' ELSE event_type END AS label, epoch(date_trunc('second', ts)) AS a, epoch(date_trunc('second', ts)) + 90000 AS b, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, k, true AS taken, [{'a': a, 'b': b, 'l': label}] AS kept FROM o WHERE k = 1 UNION ALL
+  SELECT o.user_id, o.event_id, o.k, t.ok, CASE WHEN t.ok THEN list_append(f.kept, {'a': o.a, 'b': o.b, 'l': o.label}) ELSE f.kept END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1,
+  LATERAL (SELECT len(list_filter(f.kept, lambda q: q.l = o.label AND greatest(least(q.b, o.b) - greatest(q.a, o.a), 0) / (180000 - greatest(least(q.b, o.b) - greatest(q.a, o.a), 0)) > 0.4)) = 0 AS ok) t)
+SELECT user_id, event_id FROM f WHERE taken""")
+def label_dedupe(spark, sf):
+    """Boxes that overlap a better one of their class are dropped; some classes count as one."""
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value", F.unix_timestamp("ts").cast("double").alias("x0"))
+    e = e.withColumn("x1", F.col("x0") + 90000).withColumn("y0", F.lit(0.0)).withColumn("y1", F.lit(1.0))
+    return folds.distinct_boxes(e, ["user_id"], ["x0", "y0", "x1", "y1"], "event_type", "value", "event_id", 0.4, ("click", "view"))
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT l_orderkey AS g, l_returnflag AS f, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_quantity) AS i FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+a AS (SELECT * FROM n WHERE f = 'A'), r AS (SELECT * FROM n WHERE f = 'R'), h AS (SELECT g, max(i) AS rows FROM a GROUP BY 1),
+f AS (SELECT g, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS w FROM h UNION ALL SELECT f.g, f.i + 1, r.i, f.w + 60 - abs(a.q - r.q) FROM f JOIN a ON a.g = f.g AND a.i = f.i + 1 JOIN r ON r.g = f.g AND r.i > f.used)
+SELECT f.g, max(f.w) AS weight, any_value(h.rows) AS placed FROM f JOIN h ON h.g = f.g AND h.rows = f.i GROUP BY 1""")
+def ordered_placement(spark, sf):
+    """Every element of a short row is placed on the reference in order, nearest in all."""
+    w = Window.partitionBy("g", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    n = table(spark, sf, "lineitem").where("l_returnflag in ('A', 'R')").withColumn("g", F.col("l_orderkey")).withColumn("i", F.row_number().over(w)).select("g", "l_returnflag", "i", F.col("l_quantity").cast("long").alias("q"))
+    out = folds.ordered_match(n.where("l_returnflag = 'A'"), n.where("l_returnflag = 'R'"), ["g"], "i", "q", 60.0)
+    return out.groupBy("g").agg(F.sum("score").cast("long").alias("weight"), F.count(F.lit(1)).alias("placed"))
+
+
 # --- identity and reports ---------------------------------------------------------------
 
 _PARTS = """p AS (SELECT c_custkey AS id, c_nationkey AS page, left(c_mktsegment, 4) AS name, CASE WHEN c_acctbal > 0 THEN c_custkey % 3 END AS strings FROM customer)"""

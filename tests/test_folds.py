@@ -109,3 +109,15 @@ def test_overlaps_of_short_and_very_long_intervals(spark):
         got = sorted((r.i, r.j) for r in joins.interval_overlap(df, other, ["p"], "a", "b", "c", "d", 4, margin).collect())
         assert got == sorted((x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[2] - margin < y[3] and y[2] < x[3] + margin)
     assert joins.interval_overlap(df.limit(0), other, ["p"], "a", "b", "c", "d", 4).count() == 0
+
+
+@given(st.integers(1, 4), st.integers(1, 5), st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_all_rows_are_placed_in_order(n, m, seed):
+    score = np.random.default_rng(seed).integers(-5, 9, (n, m)).astype(float)
+    got = folds.place_all(score)
+    if n > m:
+        assert got == []
+    else:
+        assert [i for i, _ in got] == list(range(n)) and all(a[1] < b[1] for a, b in zip(got, got[1:]))
+        assert sum(score[p] for p in got) == max(sum(score[i, j] for i, j in enumerate(c)) for c in itertools.combinations(range(m), n))
