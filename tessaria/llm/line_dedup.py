@@ -66,7 +66,7 @@ def covered(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def line_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` with ``text`` deduplicated, and ``n_lines`` and ``n_removed_lines`` added under those names (prefixed ``__``)."""
-    found = covered(docs, size).hint("shuffle_hash")
+    found = covered(docs, size)
     whole = docs.withColumnRenamed("text", "__text")
     joined = whole.join(found, whole["doc_id"] == found["__id"], "left")
     lines, starts = F.split("__text", "\n", -1), F.col("__starts")

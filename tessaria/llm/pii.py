@@ -7,8 +7,11 @@ local to a row, so nothing is shuffled and no text is cut.
 
 Kinds: email, ip, card and phone as the base rules have them (leftmost, not
 overlapping within a kind, a failing match is dropped and its characters are
-spent), then account (IBAN by its check digits), key (a long secret after a
-cue such as ``token =``), national (SSN after a cue) and url.
+spent), then account (after a cue, an IBAN by its check digits or a number of 8
+to 17 digits), key (a secret after a cue such as ``token =``, ``token is`` or
+``Bearer``, or by the form that issuers give it), national (SSN after a cue),
+url and address (house number, name and kind of street, town and postcode if
+they follow).  Added kinds are leftmost and do not overlap within a kind either.
 
 Defined cases: null and empty texts have no spans; spans are in code points,
 end exclusive; spans of different kinds may overlap; repeated rows are each
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 from .common import LONG, STR, read_table
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("account", "key", "national", "url")
+ADDED = ("account", "key", "national", "url", "address")
 KINDS = (*BASE, *ADDED)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,14 +39,34 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"[\s:#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
-_KEY = re.compile(r"""["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9_\-/+=]{16,})""")
+_LINK = r"(?:[\s:#.=]|\b(?:number|no|num|nr|is)\b){0,6}"
+_IBAN = re.compile(_LINK + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])", re.I)
+_ACCOUNT = re.compile(_LINK + r"([0-9]{8,17})(?![0-9A-Za-z])", re.I)
+_KEY = re.compile(r"""["']?(?:\s{0,3}[:=]\s{0,3}|\s{1,3}is\s{1,3}:?\s{0,3})["']?([A-Za-z0-9_\-/+=.]{15,}[A-Za-z0-9_\-/+=])""")
+_BEARER = re.compile(r"[ \t]{1,3}([A-Za-z0-9_\-/+=.~]{15,}[A-Za-z0-9_\-/+=~])")
+#: What follows the first letters of keys whose issuers give them a form.
+_FORMS = {
+    "AKIA": re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    "ASIA": re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    "AIza": re.compile(r"[A-Za-z0-9_-]{35}"),
+    "ghp_": re.compile(r"[A-Za-z0-9]{36}"),
+    "github_pat_": re.compile(r"[A-Za-z0-9_]{22,}"),
+    "sk-": re.compile(r"[A-Za-z0-9_-]{20,}"),
+    "xoxb-": re.compile(r"[A-Za-z0-9-]{10,}"),
+    "xoxp-": re.compile(r"[A-Za-z0-9-]{10,}"),
+    "eyJ": re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "-----BEGIN ": re.compile(r"[A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
+}
+STREETS = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Court", "Square", "Highway")
+_HOUSE = re.compile(r"(?<![0-9A-Za-z.,-])[0-9]{1,5}[A-Za-z]?(?: [A-Z][A-Za-z'.-]{0,30}){1,4} \Z")
+_TOWN = re.compile(r"(?:, (?:Apt|Suite|Unit) [0-9]{1,5}[A-Z]?)?(?:, [A-Z][A-Za-z'-]+(?: [A-Z][A-Za-z'-]+){0,2}(?:,? [A-Z]{2})?(?:,? [0-9]{5}(?:-[0-9]{4})?)?)?(?![0-9A-Za-z])")
 _NATIONAL = re.compile(r"[\s:#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
 _URL = re.compile(r"""[^\s<>"'`|{}\\^]+""")
 
 #: Cue words, each looked for in lower, title and upper case.
-KEY_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access_key", "private_key")
-ACCOUNT_CUES = ("iban",)
+KEY_CUES = ("token", "secret", "password", "passwd", "passphrase", "api_key", "apikey", "api key", "api-key", "access_key", "access key", "private_key", "credential")
+BEARER_CUES = ("bearer",)
+ACCOUNT_CUES = ("iban", "account", "acct", "konto", "routing")
 NATIONAL_CUES = ("ssn", "social security number")
 
 
@@ -58,10 +81,14 @@ def _automaton():
         a.add_word(d, ("9", 1))
     for scheme in ("://", "www."):
         a.add_word(scheme, ("u", len(scheme)))
-    for kind, cues in (("k", KEY_CUES), ("a", ACCOUNT_CUES), ("n", NATIONAL_CUES)):
+    for kind, cues in (("k", KEY_CUES), ("b", BEARER_CUES), ("a", ACCOUNT_CUES), ("n", NATIONAL_CUES)):
         for cue in cues:
             for form in {cue, cue.title(), cue.upper()}:
                 a.add_word(form, (kind, len(form)))
+    for form in _FORMS:
+        a.add_word(form, ("f", len(form)))
+    for street in STREETS:
+        a.add_word(" " + street, ("s", len(street) + 1))
     a.make_automaton()
     return a
 
@@ -141,10 +168,27 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             if at >= done["key"] and (m := _KEY.match(text, at + 1)):
                 done["key"] = m.end()
                 found["key"].append(m.span(1))
+        elif kind == "b":
+            if at >= done["key"] and (m := _BEARER.match(text, at + 1)):
+                done["key"] = m.end()
+                found["key"].append(m.span(1))
+        elif kind == "f":
+            start = at - size + 1
+            inner = start and text[start - 1].isascii() and text[start - 1].isalnum()
+            if start >= done["key"] and not inner and (m := _FORMS[text[start : at + 1]].match(text, at + 1)):
+                done["key"] = m.end()
+                found["key"].append((start, m.end()))
         elif kind == "a":
-            if at >= done["account"] and (m := _IBAN.match(text, at + 1)) and (s := _iban(m.group(1))):
+            if at >= done["account"] and (m := _IBAN.match(text, at + 1)) and (s := _iban(m.group(1).upper())):
                 done["account"] = m.start(1) + len(s)
                 found["account"].append((m.start(1), m.start(1) + len(s)))
+            elif at >= done["account"] and (m := _ACCOUNT.match(text, at + 1)):
+                done["account"] = m.end()
+                found["account"].append(m.span(1))
+        elif kind == "s":
+            if (m := _HOUSE.search(text, max(done["address"], at - size - 130), at - size + 2)) and (t := _TOWN.match(text, at + 1)):
+                done["address"] = t.end()
+                found["address"].append((m.start(), t.end()))
         elif at >= done["national"] and (m := _NATIONAL.match(text, at + 1)):
             done["national"] = m.end()
             found["national"].append(m.span(1))
