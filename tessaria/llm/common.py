@@ -8,21 +8,30 @@ the stages before it and a table that is read twice is computed once.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a one-id table (8 bytes a row) up to which it is broadcast.
 BROADCAST_IDS = 1_000_000
+#: Spark's own limit of a plan's text, which is none, and ours.
+NO_LIMIT, PLAN_TEXT = (1 << 31) - 16, 1 << 17
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset and all tasks run in this process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder is needed that the driver and all executors share")
         path = getattr(scratch_dir, "own", None) or tempfile.mkdtemp(prefix="tessaria-")
         scratch_dir.own = path
     return path.rstrip("/")
@@ -33,9 +42,57 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this process wrote to the scratch folder; results that still read them must be done."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM give back what finished queries have left: heap, buffers, generated classes and shuffle files.
+
+    It also limits the text of plans that the driver keeps for its UI, unless it is limited: long plans and literals
+    would be held again with every stage that ends.
+    """
+    name = "spark.sql.maxPlanStringLength"
+    if int("".join(c for c in spark.conf.get(name, str(NO_LIMIT)) if c.isdigit())) >= NO_LIMIT:
+        spark.conf.set(name, str(PLAN_TEXT))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def lean(function):
+    """A function for mapInArrow whose worker gives freed memory back to the system, before its batches and after them.
+
+    Workers live on between stages, and glibc keeps what numpy frees on the heap (blocks of up to 32 MB, once it has seen
+    such ones); large blocks are made mappings of their own instead, and the heap is trimmed.  Elsewhere nothing happens.
+    """
+
+    @functools.wraps(function)
+    def run(batches):
+        _trim()
+        yield from function(batches)
+        _trim()
+
+    return run
+
+
+def _trim() -> None:
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,18 +1,25 @@
 """LM scoring with a log-bilinear neural model trained by noise-contrastive estimation.
 
-Spark counts every token of the training documents.  The ``VOCAB`` most
-frequent words, the end of a text and one class for all other words are the
-model's outputs; a word of that class is scored by the class's probability
-times its smoothed share of it, so the score of any text is normalised.  Every
-training token is a training step: each partition runs noise-contrastive
-estimation in numpy over its own documents from one common start, and the
-parameters are averaged, weighted by tokens, in a tree of bounded groups.
-Batched matrix products then give the logarithm of the normaliser of every
-context and the bilinear scores as tables, from which tokens are scored.
-
-Counts of the most frequent words (at most ``FREQUENT``) are broadcast; all
-other words of a document leave its task as (word, times) and meet their
-counts in a shuffle join, so no text is shuffled and nothing unbounded is held.
+Spark counts every token of the training documents.  The model's vocabulary is
+every word of at least ``LEAST`` occurrences, at most ``VOCAB`` of them, the end
+of a text, and one entry for all other words; a word of that entry is scored by
+its probability times its smoothed share of it.  Words stand by frequency in a
+tree of two levels of classes: a token's probability is that of its first
+class, of its second within that, and of the word within that, each a softmax
+over about the cube root of the vocabulary by batched matrix products.  So the
+score of any text is normalised, whatever the size of the vocabulary.
+
+Words and classes of both levels are trained together by noise-contrastive
+estimation in numpy, over every training token.  Documents are dealt into
+``ROUNDS`` by a hash.  In each round every partition trains on its documents
+from the common parameters, and the changes of each row are averaged over the
+partitions that touched it, weighted by its updates there; only rows that were
+touched leave a partition, and rows are summed in a shuffle.
+
+Counts of the most frequent words (at most ``FREQUENT``) are broadcast, as are
+the parameters (at most 5 MB); all other words of a document leave its task as
+(word, times) and meet their counts in a shuffle join, so no text is shuffled
+and nothing unbounded is held.
 
 Defined cases: null and empty texts are one end token; null ids count as the
 empty string for the split; repeated rows are each counted and scored; with no
@@ -27,14 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, DBL, LONG, materialize, read_table, schema, top_threshold
+from .common import BIN, DBL, LONG, lean, materialize, read_table, schema, top_threshold
 from .textcore import NOT_SPACE, as_bytes, pick, span_hashes, spans
 
-VOCAB, DIM, NOISE = 1022, 16, 32
+#: Words of the model at most, and occurrences that make one; dimension, noise words a batch.
+VOCAB, LEAST, DIM, NOISE = (1 << 15) - 2, 3, 8, 16
+ROUNDS = 2
 FREQUENT = 500_000
-STEP, RATE = 4096, 0.1
-CHUNK, COUNT_CHUNK = 256, 4096
-GROUP = 64
+#: Tokens of a step; rate and first squared gradient of its adaptive ascent.
+STEP, RATE, FIRST = 1024, 0.1, 0.01
+CHUNK, SCORE_CHUNK, COUNT_CHUNK, BLOCK = 256, 512, 4096, 4096
 END, OTHER = 0, 1
 FOLDS, HELD_OUT = 5, 1
 
@@ -65,7 +74,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 words = [*pick(cuts, first), b""]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([*n.tolist(), b.num_rows], pa.int64())], ["word", "n"])
 
-    return docs.select("text").mapInArrow(local, schema(word=BIN, n=LONG)).groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(local), schema(word=BIN, n=LONG)).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
@@ -74,12 +83,12 @@ def _hash(words: list[bytes]) -> np.ndarray:
 
 
 class Lexicon:
-    """Frequent words: sorted hashes, counts, and the model's class of each (OTHER beyond the vocabulary)."""
+    """Frequent words: sorted hashes, counts, and the model's entry of each (OTHER beyond the vocabulary)."""
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int):
         order = sorted((i for i, w in enumerate(words) if w), key=lambda i: (-counts[i], words[i]))
-        klass = np.full(len(words), OTHER, dtype=np.int64)
-        self.vocab = order[:VOCAB]
+        klass = np.full(len(words), OTHER, dtype=np.int64)  # the model's entry of each word
+        self.vocab = [i for i in order[:VOCAB] if counts[i] >= LEAST]
         klass[self.vocab] = np.arange(2, 2 + len(self.vocab))
         h = _hash(words)
         at = np.argsort(h)
@@ -104,7 +113,7 @@ class Lexicon:
 
 
 def contexts(lex: Lexicon, places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of the tokens of several texts (each with its end), of the word before, and of the one before that."""
+    """Entries of the tokens of several texts (each with its end), of the word before, and of the one before that."""
     out = np.concatenate([x for p in places for x in (lex.classes(p), [END])]).astype(np.int64)
     size = np.array([len(p) + 1 for p in places])
     start = np.cumsum(size) - size
@@ -116,111 +125,176 @@ def contexts(lex: Lexicon, places: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 
 
 class LogBilinear:
-    """score(w | u, v) = (R[u] C1 + R[v] C2) . Q[w] + b[w]"""
+    """score(x | u, v) = (R[u] C1 + R[v] C2) . X[x] + c[x], for words x and classes of two levels; a table's last column is c.
 
-    SHAPES = ("R", "C1", "C2", "Q", "b")
+    Entry i has the classes i // branch and i // branch**2.
+    """
 
     def __init__(self, unigram: np.ndarray, dim: int = DIM, seed: int = 7):
         rng, v = np.random.default_rng(seed), len(unigram)
-        self.noise = np.log(unigram).astype(np.float32)
-        self.R = rng.normal(0, 0.1, (v, dim)).astype(np.float32)
-        self.Q = rng.normal(0, 0.1, (v, dim)).astype(np.float32)
-        self.C1 = np.eye(dim, dtype=np.float32)
-        self.C2 = np.eye(dim, dtype=np.float32) * np.float32(0.5)
-        self.b = self.noise.copy()
-        self._sq = {k: np.full_like(getattr(self, k), 1.0) for k in self.SHAPES}
-        self._alias = np.cumsum(unigram)
-
-    def _rows(self, at: np.ndarray, grad: np.ndarray, size: int) -> np.ndarray:
-        return np.stack([np.bincount(at, weights=grad[:, j], minlength=size) for j in range(grad.shape[1])], axis=1)
+        self.branch = max(2, int(np.ceil(np.cbrt(v))))
+        self._cumulative = np.cumsum(unigram)
+        small = lambda n: rng.normal(0, 0.1, (n, dim)).astype(np.float32)
+        self.R, self.C1, self.C2 = small(v), np.eye(dim, dtype=np.float32), np.eye(dim, dtype=np.float32) * np.float32(0.5)
+        self.levels = []  # of words, of small classes, of large ones: their table, log noise and width
+        for width in (1, self.branch, self.branch**2):
+            p = np.add.reduceat(unigram, np.arange(0, v, width))
+            noise = np.log(p).astype(np.float32)
+            self.levels.append([np.column_stack((small(len(p)), noise)), noise, width])
+
+    def tables(self) -> list[np.ndarray]:
+        """All parameters as tables of rows: contexts, words and classes, then both context matrices."""
+        return [self.R, *[x for x, *_ in self.levels], self.C1, self.C2]
+
+    def load(self, tables: list[np.ndarray]) -> None:
+        self.R, self.C1, self.C2 = tables[0], tables[-2], tables[-1]
+        for level, t in zip(self.levels, tables[1:-2]):
+            level[0] = t
+
+    def start(self) -> None:
+        self._square = [np.full_like(x, FIRST) for x in self.tables()]
+        self.updates = [np.zeros(len(x), np.int64) for x in self.tables()[:-2]]
+
+    def _ascend(self, k: int, x: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+        """One step of the rows ``at`` (which may repeat) of table ``k``, by the sums of their gradients."""
+        square = self._square[k]
+        if len(x) <= 64:
+            chosen = np.zeros((len(x), len(at)), np.float32)
+            chosen[at, np.arange(len(at))] = 1
+            g, rows, times = chosen @ grad, slice(None), chosen.sum(1).astype(np.int64)
+        else:
+            order = np.argsort(at.astype(np.uint16) if len(x) <= 1 << 16 else at, kind="stable")  # short integers are sorted by their digits
+            at = at[order]
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            g, rows, times = np.add.reduceat(grad[order], first, axis=0), at[first], np.diff(np.append(first, len(at)))
+        s = square[rows] + g * g
+        square[rows] = s
+        x[rows] += np.float32(RATE) * g / np.sqrt(s)
+        self.updates[k][rows] += times
 
     def step(self, w, u, v, rng, noise: int = NOISE) -> None:
-        """One ascent of the NCE objective on a batch, with noise words shared by the batch."""
-        size = len(self.b)
-        k = np.minimum(np.searchsorted(self._alias, rng.random(noise)), size - 1)
+        """One ascent of the objectives of all levels on a batch, with noise words shared by the batch."""
+        n, dim = len(w), self.R.shape[1]
+        drawn = np.minimum(np.searchsorted(self._cumulative, rng.random(noise)), len(self.R) - 1)
         ru, rv = self.R[u], self.R[v]
-        q = ru @ self.C1 + rv @ self.C2
-        shift = np.log(np.float32(noise)) + self.noise
-        pos = 1 / (1 + np.exp(np.clip((q * self.Q[w]).sum(1) + self.b[w] - shift[w], -30, 30)))  # 1 - sigmoid
-        neg = 1 / (1 + np.exp(-np.clip(q @ self.Q[k].T + (self.b[k] - shift[k]), -30, 30)))
-        dq = pos[:, None] * self.Q[w] - neg @ self.Q[k]
-        grads = {
-            "Q": self._rows(w, pos[:, None] * q, size) - self._rows(k, neg.T @ q, size),
-            "b": np.bincount(w, weights=pos, minlength=size) - np.bincount(k, weights=neg.sum(0), minlength=size),
-            "C1": ru.T @ dq,
-            "C2": rv.T @ dq,
-            "R": self._rows(u, dq @ self.C1.T, size) + self._rows(v, dq @ self.C2.T, size),
-        }
-        for name, g in grads.items():
-            g = (g / np.sqrt(len(w))).astype(np.float32)
-            self._sq[name] += g * g
-            x = getattr(self, name)
-            x += np.float32(RATE) * g / np.sqrt(self._sq[name])
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in self.SHAPES]).astype(np.float64)
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for k in self.SHAPES:
-            x = getattr(self, k)
-            setattr(self, k, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-
-    def tables(self, block: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bilinear scores (u, w) and (v, w), biases, and the log normaliser of every context (u, v)."""
-        one, two = self.R @ self.C1 @ self.Q.T, self.R @ self.C2 @ self.Q.T
-        size = len(self.b)
-        z = np.empty((size, size), dtype=np.float32)
-        # exp(one + two + b) summed over w is one matrix product of the exponentials of both halves.
-        top1, top2 = one.max(1, keepdims=True), (two + self.b).max(1, keepdims=True)
-        e2 = np.exp(two + self.b - top2).T
-        for i in range(0, size, block):
-            z[i : i + block] = np.log(np.exp(one[i : i + block] - top1[i : i + block]) @ e2) + top1[i : i + block] + top2.T
-        return one, two, self.b, z
+        q = np.ones((n, dim + 1), np.float32)  # the last column takes the biases
+        q[:, :dim] = ru @ self.C1 + rv @ self.C2
+        scale, shift = np.float32(1 / np.sqrt(n)), np.float32(np.log(noise))
+        dq = np.zeros((n, dim + 1), np.float32)
+        for i, (x, log_noise, width) in enumerate(self.levels):
+            at, other = (w, drawn) if width == 1 else (w // width, drawn // width)
+            xa, xo = x[at], x[other]
+            pos = np.einsum("ij,ij->i", q, xa) - (log_noise[at] + shift)
+            np.clip(pos, -30, 30, out=pos)
+            pos = scale / (1 + np.exp(pos))  # 1 - sigmoid
+            neg = q @ xo.T - (log_noise[other] + shift)
+            np.clip(neg, -30, 30, out=neg)
+            neg = -scale / (1 + np.exp(-neg))
+            dq += pos[:, None] * xa + neg @ xo
+            grad = np.empty((n + noise, dim + 1), np.float32)
+            np.multiply(pos[:, None], q, out=grad[:n])
+            grad[n:] = neg.T @ q
+            self._ascend(i + 1, x, np.concatenate((at, other)), grad)
+        dq = dq[:, :dim]
+        du, dv = dq @ self.C1.T, dq @ self.C2.T
+        for k, name, g in ((-2, "C1", ru.T @ dq), (-1, "C2", rv.T @ dq)):
+            self._square[k] += g * g
+            setattr(self, name, getattr(self, name) + np.float32(RATE) * g / np.sqrt(self._square[k]))
+        self._ascend(0, self.R, np.concatenate((u, v)), np.concatenate((du, dv)))
+
+    def log_probs(self, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the normalised probabilities of ``w`` after ``u`` and, before that, ``v``."""
+        q = self.R[u] @ self.C1 + self.R[v] @ self.C2
+        q = np.column_stack((q, np.ones(len(w), np.float32)))
+        out, ones = np.zeros(len(w)), np.ones(max(self.branch, len(self.levels[-1][0])), np.float32)
+        for x, _, width in self.levels:
+            at = w // width
+            group = at // self.branch if width < self.branch**2 else np.zeros(len(w), np.int64)
+            size = self.branch if width < self.branch**2 else len(x)
+            order = np.argsort(group.astype(np.uint16) if len(x) <= 1 << 16 else group, kind="stable")
+            cut = np.flatnonzero(np.diff(group[order])) + 1
+            for rows in np.split(order, cut) if len(order) else ():
+                low = int(group[rows[0]]) * size
+                y = x[low : low + size].T
+                for i in range(0, len(rows), BLOCK):
+                    r = rows[i : i + BLOCK]
+                    z = q[r] @ y
+                    np.clip(z, -60, 60, out=z)  # so that no exponential overflows; each softmax is one of the cut scores
+                    own = z[np.arange(len(r)), at[r] - low]
+                    np.exp(z, out=z)
+                    out[r] += own - np.log(z @ ones[: z.shape[1]])
+        return out
 
 
 def train(docs: DataFrame, lex: Lexicon) -> LogBilinear:
-    """Parameters averaged over the partitions of ``docs``; every token of every document is one training step."""
-    held = docs.sparkSession.sparkContext.broadcast(lex)
-
-    def local(batches):
-        model = LogBilinear(held.value.unigram)
-        rng, seen = np.random.default_rng(3), 0
-        for whole in batches:
-            for b in _chunks(whole, CHUNK):
-                hashes = [span_hashes(*_cut(t)) for t in b.column(0).to_pylist()]
-                size = np.cumsum([len(h) for h in hashes])[:-1]
-                w, u, v = contexts(held.value, np.split(held.value.find(np.concatenate(hashes)), size))
-                order = rng.permutation(len(w))
-                for i in range(0, len(w), STEP):
-                    at = order[i : i + STEP]
-                    model.step(w[at], u[at], v[at], rng)
-                seen += len(w)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.float64()), pa.array([model.flat() * seen])], ["n", "x"])
-
-    out = T.StructType([T.StructField("n", DBL), T.StructField("x", T.ArrayType(DBL))])
-    parts = docs.select("text").mapInArrow(local, out).withColumn("part", F.monotonically_increasing_id())
-    parts = materialize(parts, "lm-parts")
-    left = parts.count()
-
-    def add(key, t):
-        x = np.sum([np.asarray(r.values) for r in t.column("x").combine_chunks()], axis=0)
-        return pa.table({"n": [float(np.sum(t.column("n").to_numpy()))], "x": pa.array([x]), "part": [key[0].as_py()]})
-
-    while left > GROUP:
-        groups = -(-left // GROUP)
-        parts = parts.select("n", "x", F.pmod(F.xxhash64("part"), F.lit(groups)).alias("part")).groupBy("part").applyInArrow(add, parts.schema)
-        parts = materialize(parts, "lm-parts")
-        left = parts.count()
+    """The model after every token of ``docs`` has been one training step, in ROUNDS of averaged changes."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(lex)
     model = LogBilinear(lex.unigram)
-    rows = parts.select("n", "x").toArrow()
-    if rows.num_rows:
-        model.load(np.sum([np.asarray(r.values) for r in rows.column("x").combine_chunks()], axis=0) / np.sum(rows.column("n").to_numpy()))
+    dealt = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(ROUNDS)).alias("round"))
+    for number in range(ROUNDS):
+        common = spark.sparkContext.broadcast(model.tables())
+
+        def local(batches, common=common, number=number):
+            known, own = held.value, LogBilinear(held.value.unigram)
+            own.load([t.astype(np.float32) for t in common.value])
+            own.start()
+            rng, seen = np.random.default_rng(3 + number), 0
+            for whole in batches:
+                for b in _chunks(whole, CHUNK):
+                    hashes = [span_hashes(*_cut(t)) for t in b.column(0).to_pylist()]
+                    size = np.cumsum([len(h) for h in hashes])[:-1]
+                    w, u, v = contexts(known, np.split(known.find(np.concatenate(hashes)), size))
+                    order = rng.permutation(len(w))
+                    for i in range(0, len(w), STEP):
+                        at = order[i : i + STEP]
+                        own.step(w[at], u[at], v[at], rng)
+                    seen += len(w)
+            if not seen:
+                return
+            first = 0
+            for i, (new, old) in enumerate(zip(own.tables(), common.value)):
+                times = own.updates[i] if i < len(own.updates) else np.full(len(new), seen)
+                rows = np.flatnonzero(times)
+                change = (new[rows] - old[rows]).astype("<f2")
+                cells = pa.array([r.tobytes() for r in change], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(first + rows), pa.array(times[rows].astype(np.int64)), cells], ["row", "n", "x"])
+                first += len(new)
+
+        def summed(batches):
+            """Sorted rows to one a row of the parameters: its updates and the weighted sum of its changes."""
+            row, total, acc = None, 0, None
+            for b in batches:
+                out = []
+                for r, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    part = np.frombuffer(x, "<f2").astype(np.float64) * n
+                    if r != row:
+                        if row is not None:
+                            out.append((row, total, acc.tobytes()))
+                        row, total, acc = r, n, part
+                    else:
+                        total, acc = total + n, acc + part
+                yield _rows(out)
+            yield _rows([(row, total, acc.tobytes())] if row is not None else [])
+
+        changes = dealt.where(F.col("round") == number).select("text").mapInArrow(lean(local), schema(row=LONG, n=LONG, x=BIN))
+        changes = changes.repartition("row").sortWithinPartitions("row").mapInArrow(lean(summed), schema(row=LONG, n=LONG, x=BIN))
+        got = changes.toArrow()  # at most a row for each of the parameters' rows
+        tables = [t.astype(np.float32) for t in model.tables()]
+        edge = np.cumsum([0, *map(len, tables)])
+        rows, n, x = (got.column(k).to_pylist() for k in ("row", "n", "x"))
+        for r, k, cell in zip(rows, n, x):
+            i = int(np.searchsorted(edge, r, "right")) - 1
+            tables[i][r - edge[i]] += (np.frombuffer(cell) / k).astype(np.float32)
+        model.load(tables)
     return model
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["row", "n", "x"])
+
+
 def fit(training: DataFrame) -> tuple[DataFrame, Lexicon, LogBilinear]:
     counts = materialize(count_words(training), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -231,7 +305,7 @@ def fit(training: DataFrame) -> tuple[DataFrame, Lexicon, LogBilinear]:
 
 
 def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: LogBilinear, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast((lex, model.tables()))
+    held = docs.sparkSession.sparkContext.broadcast((lex, model))
     rare = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
     names = ["n_tokens", "n_known", "n_other", "base", "lbl"]
     fields = [T.StructField("__row", LONG), *[docs.schema[k] for k in keys]]
@@ -239,18 +313,18 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: LogBilinear,
     fields.append(T.StructField("rare", T.ArrayType(T.StructType([T.StructField("word", BIN), T.StructField("n", LONG)]))))
 
     def local(batches):
-        lx, (one, two, bias, z) = held.value
+        lx, lbl = held.value
         logc = np.log10(lx.count + 0.5)
         end_log, end_known = float(np.log10(lx.ends + 0.5)), int(lx.ends > 0)
         for whole in batches:
-            for b in _chunks(whole, CHUNK):
+            for b in _chunks(whole, SCORE_CHUNK):
                 cuts = [_cut(t) for t in b.column(1 + len(keys)).to_pylist()]
                 h = np.concatenate([span_hashes(*c) for c in cuts])
                 size = np.array([len(c[1]) for c in cuts])
                 cut = np.cumsum(size)[:-1]
                 place = lx.find(h)
                 w, u, v = contexts(lx, np.split(place, cut))
-                p = (one[u, w] + two[v, w] + bias[w] - z[u, v]) / np.log(10.0)
+                p = lbl.log_probs(w, u, v) / np.log(10.0)
                 edge = np.concatenate(([0], np.cumsum(size + 1)))
                 total = np.diff(np.concatenate(([0.0], np.cumsum(p, dtype=np.float64)))[edge])
                 known = place >= 0
@@ -279,7 +353,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: LogBilinear,
                     ["__row", *keys, *names, "rare"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), *keys, "text").mapInArrow(local, T.StructType(fields))
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), *keys, "text").mapInArrow(lean(local), T.StructType(fields))
     rows = materialize(rows, "lm-rows")
     found = (
         rows.select("__row", F.explode("rare").alias("r"))
