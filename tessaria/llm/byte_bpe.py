@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BIN, INT, LONG, materialize, read_table, schema, top_threshold
+from .common import BIN, INT, LONG, STR, lean, materialize, read_table, release, schema, top_threshold, trim
 from .textcore import mix
 
 #: Pieces that are broadcast, at most, and documents (about) in which they are counted; the others are folded by their own tasks.
@@ -157,11 +157,12 @@ def distinct(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.
         have = have ^ (view[starts[at] + off] & _MASK[np.minimum(size[at] - off, 8)])
         off += 8
     order = np.argsort(key)
-    sorted_key = key[order]
+    key = key[order]
     head = np.ones(len(order), dtype=bool)
-    head[1:] = sorted_key[1:] != sorted_key[:-1]
-    which = np.empty(len(order), dtype=np.int64)
-    which[order] = np.cumsum(head) - 1
+    head[1:] = key[1:] != key[:-1]
+    del key
+    which = np.empty(len(order), dtype=np.int32)
+    which[order] = np.cumsum(head, dtype=np.int32) - 1
     heads = np.flatnonzero(head)
     place, n = order[heads], np.diff(np.append(heads, len(order)))
     a, b = long, place[which[long]]
@@ -189,6 +190,7 @@ def _gather(flat: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarra
 
 def _binaries(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> pa.Array:
     """Spans of bytes as a binary column."""
+    starts, size = starts.astype(np.int64), size.astype(np.int64)
     offset = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offset.tobytes()), pa.py_buffer(_gather(buf, starts, size).tobytes())])
 
@@ -231,7 +233,7 @@ class Chunk:
                 count[t] += len(windows) - 1
                 done = p + 1
             starts, size = np.concatenate([*parts, starts[done:]]), np.concatenate([*sizes, size[done:]])
-        self.starts, self.size, self.count = starts, size, count
+        self.starts, self.size, self.count = starts.astype(np.int32), size.astype(np.int32), count
 
 
 def _chunks(column: pa.Array):
@@ -249,9 +251,13 @@ def _chunks(column: pa.Array):
 # --- the rank map and the fold ----------------------------------------------
 
 
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return parse_ranks(f.read())
 
 
 def default_path() -> str:
@@ -267,17 +273,39 @@ class RankMap:
     and rank.  ``single`` has the token of each byte, ``odd`` the tokens that merges do not reach (by their bytes in hex).
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    @classmethod
+    def shipped(cls, spark, data: bytes) -> RankMap:
+        """The map of a file of ranks, made by a task: its tables of Python objects never are on the driver."""
+        held = spark.sparkContext.broadcast(data)
+
+        def local(batches):
+            for b in batches:
+                made = RankMap.made(parse_ranks(held.value))
+                sizes = [made.spread, made.n_shifts, made.n_slots, int(made.any_odd)]
+                yield pa.RecordBatch.from_arrays([pa.array([made.text]), pa.array([sizes])], ["text", "sizes"])
+
+        out = T.StructType([T.StructField("text", STR), T.StructField("sizes", T.ArrayType(LONG))])
+        row = spark.range(1).mapInArrow(lean(local), out).first()
+        own = cls.__new__(cls)
+        own.text, (own.spread, own.n_shifts, own.n_slots, odd) = row["text"], row["sizes"]
+        own.any_odd = bool(odd)
+        return own
+
+    @classmethod
+    def made(cls, ranks: dict[bytes, int]) -> RankMap:
         if any(bytes([c]) not in ranks for c in range(256)):
             raise ValueError("not every byte is a token")
         if max(ranks.values()) >> BITS:
             raise ValueError(f"a rank has more than {BITS} bits")
+        if max(map(len, ranks)) >= WINDOW:
+            raise ValueError(f"a token has {WINDOW} bytes or more")
+        self = cls.__new__(cls)
         self.single = [ranks[bytes([c])] for c in range(256)]
         pairs = {
             ranks[t[:i]] << BITS | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         }
-        self.odd = {t.hex().upper(): r for t, r in ranks.items() if len(t) > 1 and heap_merges(t, ranks) != [r]}
-        size = max(len(pairs) * 2, 16) | 1  # odd, as keys are steps of a power of two
+        odd = {t.hex().upper(): r for t, r in ranks.items() if len(t) > 1 and heap_merges(t, ranks) != [r]}
+        size = max(len(pairs) * 5 // 4, 16) | 1  # odd, as keys are steps of a power of two
         groups: dict[int, list[int]] = {}
         n_shifts = max(len(pairs) // 2, 1) | 1
         for k in pairs:
@@ -286,8 +314,13 @@ class RankMap:
             self.shift, self.slots = [0] * n_shifts, [-1] * size
             if all(self._place(g, ks, size) for g, ks in sorted(groups.items(), key=lambda x: -len(x[1]))):
                 break
+        # An empty slot is 0, which differs from every key but 0; that one's slot has another key.
+        none = self.shift[0] % size
         for i, k in enumerate(self.slots):
-            self.slots[i] = k << BITS | pairs[k] if k >= 0 else 1 << 62
+            self.slots[i] = k << BITS | pairs[k] if k >= 0 else 1 << BITS if i == none else 0
+        doc = {"single": self.single, "slots": self.slots, "shift": self.shift, "odd": odd}
+        self.text, self.n_shifts, self.n_slots, self.any_odd = json.dumps(doc, separators=(",", ":")), n_shifts, size, bool(odd)
+        return self
 
     def _place(self, group: int, keys: list[int], size: int) -> bool:
         at = [k % self.spread for k in keys]
@@ -307,18 +340,17 @@ class RankMap:
 
         def whole(tables: Column) -> Column:
             folded = bpe_fold(piece, tables["single"], lambda key: self._rank(tables, key)).cast("array<int>")
-            if not self.odd:
+            if not self.any_odd:
                 return folded
             return F.coalesce(F.array(F.try_element_at(tables["odd"], F.hex(piece))), folded)
 
-        doc = {"single": self.single, "slots": self.slots, "shift": self.shift, "odd": self.odd}
         kind = "struct<single:array<bigint>,slots:array<bigint>,shift:array<int>,odd:map<string,int>>"
-        return _let(F.from_json(F.lit(json.dumps(doc, separators=(",", ":"))), kind), whole)
+        return _let(F.from_json(F.lit(self.text), kind), whole)
 
     def _rank(self, tables: Column, key: Column) -> Column:
         """The rank of a pair; where it is none, the entry's key differs and gives 2**BITS, above every rank."""
-        shift = F.get(tables["shift"], (key % len(self.shift)).cast("int"))
-        entry = F.get(tables["slots"], ((key % self.spread + shift) % len(self.slots)).cast("int"))
+        shift = F.get(tables["shift"], (key % self.n_shifts).cast("int"))
+        entry = F.get(tables["slots"], ((key % self.spread + shift) % self.n_slots).cast("int"))
         return F.least(entry.bitwiseXOR(F.shiftleft(key, BITS)), F.lit(1 << BITS).cast("long"))
 
 
@@ -419,10 +451,11 @@ def count_pieces(docs: DataFrame) -> DataFrame:
         for b in batches:
             for i, j in _chunks(b.column(0)):
                 c = Chunk(b.column(0).slice(i, j - i))
-                place, n, _ = distinct(c.buf, c.starts, c.size)
+                place, n = distinct(c.buf, c.starts, c.size)[:2]
                 yield pa.RecordBatch.from_arrays([_binaries(c.buf, c.starts[place], c.size[place]), pa.array(n)], ["piece", "n"])
+                trim()
 
-    return docs.select("text").mapInArrow(local, schema(piece=BIN, n=LONG)).groupBy("piece").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(local), schema(piece=BIN, n=LONG)).groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 class Frequent:
@@ -439,7 +472,10 @@ class Frequent:
         return {p: i for i, p in enumerate(self.pieces.to_pylist())}
 
 
-def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+@functools.lru_cache(1)
+def _pieces(data: bytes) -> list[bytes]:
+    """The bytes of each id of a file of ranks."""
+    ranks = parse_ranks(data)
     out = [b""] * (max(ranks.values(), default=-1) + 1)
     for k, v in ranks.items():
         out[v] = k
@@ -475,10 +511,10 @@ def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("d
     as :func:`decode`, without another round of Python workers.
     """
     spark = docs.sparkSession
-    ranks = load_ranks(path or default_path())
-    if max(map(len, ranks), default=0) >= WINDOW:
-        raise ValueError(f"a token has {WINDOW} bytes or more")
-    table = RankMap(ranks)
+    release(spark)
+    with open(path or default_path(), "rb") as f:
+        data = f.read()
+    table = RankMap.shipped(spark, data)
     total = docs.count()
     some = docs.sample(SAMPLE / total, seed=1) if total > SAMPLE else docs
     counts = materialize(count_pieces(some), "bpe-pieces")
@@ -488,9 +524,8 @@ def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("d
     key_fields = [docs.schema[k] for k in keys]
     n_keys = len(keys)
     names = [f"k{k}" for k in range(n_keys)]
-    piece = spark.sparkContext.broadcast(_pieces(ranks))
+    tokens = spark.sparkContext.broadcast(data)
     out = T.StructType([*key_fields, T.StructField("ids", BIN), *([T.StructField("data", BIN)] if decoded else [])])
-    del ranks
 
     def split(batches):
         """A row per chunk.  Its pieces are places in the frequent table or, below 0, in its own list of rare ones."""
@@ -510,9 +545,12 @@ def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("d
                 code[rare] = -1 - np.arange(len(rare))
                 of_texts = pa.RecordBatch.from_arrays([*b.columns[:n_keys], pa.array(c.count)], [*names, "count"])
                 of_rare = pa.RecordBatch.from_arrays([pieces.take(pa.array(rare))], ["piece"])
+                del pieces, order, place
                 body = (_packed(of_texts), len(which), many, _planes(number[which]), _planes(code), c.long, _packed(of_rare))
+                del c, which, of_rare
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pickle.dumps(body)], pa.binary())], ["chunk", "body"])
                 chunk += 1
+                trim()
 
     def wanted(batches):
         for b in batches:
@@ -532,13 +570,14 @@ def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("d
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first)), lists], ["piece", "at"])
 
     def join(_, left, right):
-        known, token = held.value, piece.value
+        known, token = held.value, _pieces(tokens.value)
+        trim()
         parts = [_texts_of(pickle.loads(body.as_buffer()), right, known, token, n_keys, decoded) for body in left.column("body")]
         return pa.concat_tables([pa.Table.from_arrays(p, out.fieldNames()) for p in parts]) if parts else to_arrow_schema(out).empty_table()
 
-    chunks = docs.select(*keys, "text").mapInArrow(split, schema(chunk=LONG, body=BIN)).repartition("chunk")
-    rare = chunks.mapInArrow(wanted, schema(piece=BIN, chunk=LONG, i=INT)).repartition("piece").sortWithinPartitions("piece")
-    rare = rare.mapInArrow(gathered, T.StructType([T.StructField("piece", BIN), T.StructField("at", T.ArrayType(schema(chunk=LONG, i=INT)))]))
+    chunks = docs.select(*keys, "text").mapInArrow(lean(split), schema(chunk=LONG, body=BIN)).repartition("chunk")
+    rare = chunks.mapInArrow(lean(wanted), schema(piece=BIN, chunk=LONG, i=INT)).repartition("piece").sortWithinPartitions("piece")
+    rare = rare.mapInArrow(lean(gathered), T.StructType([T.StructField("piece", BIN), T.StructField("at", T.ArrayType(schema(chunk=LONG, i=INT)))]))
     rare = rare.select(table.fold(F.col("piece")).alias("ids"), "at").select("ids", F.explode("at").alias("at")).select("at.chunk", "at.i", "ids")
     return chunks.groupBy("chunk").cogroup(rare.groupBy("chunk")).applyInArrow(join, out)
 
@@ -604,16 +643,17 @@ def _texts_of(body: tuple, rare: pa.Table, known: Frequent, token: list[bytes],
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with ``data``: the bytes of its ``ids``, concatenated piece by piece."""
-    held = encoded.sparkSession.sparkContext.broadcast(_pieces(load_ranks(path or default_path())))
+    with open(path or default_path(), "rb") as f:
+        held = encoded.sparkSession.sparkContext.broadcast(f.read())
     at = encoded.columns.index("ids")
 
     def local(batches):
-        get = held.value.__getitem__
+        get = _pieces(held.value).__getitem__
         for b in batches:
             out = [b"".join(map(get, np.frombuffer(x.as_buffer(), dtype="<u4").tolist())) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "data"])
 
-    return encoded.mapInArrow(local, T.StructType([*encoded.schema.fields, T.StructField("data", BIN)]))
+    return encoded.mapInArrow(lean(local), T.StructType([*encoded.schema.fields, T.StructField("data", BIN)]))
 
 
 def digests(encoded: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:

@@ -78,14 +78,14 @@ def lean(function):
 
     @functools.wraps(function)
     def run(batches):
-        _trim()
+        trim()
         yield from function(batches)
-        _trim()
+        trim()
 
     return run
 
 
-def _trim() -> None:
+def trim() -> None:
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
         libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DBL, LONG, materialize, read_table, schema
+from .common import DBL, LONG, lean, materialize, read_table, release, schema
 from .textcore import U, as_bytes, mix, shingle_hashes, word_hashes
 
 K, THRESHOLD = 5, (4, 5)
@@ -192,13 +192,14 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = K, most: int = I
                 arrays = [pa.array(c, pa.int64()) for c in cols]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([n / m for _, _, n, m in hits], pa.float64())], out.fieldNames())
 
-        found = found.union(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, out))
+        found = found.union(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(local), out))
     return found
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = K, most: int = ITEMS) -> DataFrame:
     """``docs`` without the documents that contain an item; judged row by row, nothing is joined."""
     spark = docs.sparkSession
+    release(spark)
     at = docs.columns.index("text")
     for i, rows in enumerate(_item_blocks(items, most)):
         if i:  # one block of items, and one Python worker a task, at a time
@@ -209,7 +210,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = K, most: int = ITE
             for b in batches:
                 yield b.filter(pa.array([not found for found in _searched(index.value, b.column(at))], pa.bool_()))
 
-        docs = docs.mapInArrow(local, docs.schema)
+        docs = docs.mapInArrow(lean(local), docs.schema)
     return docs
 
 

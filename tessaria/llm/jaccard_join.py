@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, INT, LONG, STR, components, materialize, read_table, schema, small_or_plain, top_threshold
+from .common import BIN, INT, LONG, STR, components, lean, materialize, read_table, release, schema, small_or_plain, top_threshold
 from .textcore import as_bytes, shingle_hashes, word_hashes
 
 #: Largest block that one task holds; longer ones are split into chunk pairs.
@@ -235,7 +235,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
                     none = pa.nulls(len(u), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.array(u), pa.array(c.astype(np.int64)), none, none], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, schema(kind=INT, v=LONG, n=LONG, key=BIN, sig=BIN))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(local), schema(kind=INT, v=LONG, n=LONG, key=BIN, sig=BIN))
 
 
 def _hot(scan: DataFrame) -> np.ndarray:
@@ -279,7 +279,7 @@ def _prefix_tokens(docs: DataFrame, k: int, num: int, hot) -> DataFrame:
                         ["tok", "doc", "n"],
                     )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, schema(tok=LONG, doc=LONG, n=INT))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(local), schema(tok=LONG, doc=LONG, n=INT))
 
 
 def _sharper(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -292,7 +292,7 @@ def _sharper(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["doc", "sig"])
 
     need = docs.join(small_or_plain(ids, ids.count()), "doc_id", "left_semi")
-    return need.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, schema(doc=LONG, sig=BIN))
+    return need.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(local), schema(doc=LONG, sig=BIN))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -308,7 +308,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     need = docs.join(small_or_plain(ids, ids.count()), "doc_id", "left_semi")
     out = T.StructType([T.StructField("doc", LONG), T.StructField("tokens", T.ArrayType(LONG))])
-    return need.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, out)
+    return need.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(local), out)
 
 
 def comparable(doc: np.ndarray, n: np.ndarray, num: int, den: int = 100) -> np.ndarray:
@@ -381,7 +381,7 @@ def _shared(tokens: DataFrame, num: int) -> DataFrame:
         yield small(lists)
 
     out = T.StructType([T.StructField("docs", T.ArrayType(LONG)), T.StructField("tok", LONG), T.StructField("doc", LONG)])
-    return tokens.repartition("tok").sortWithinPartitions("tok").mapInArrow(local, out)
+    return tokens.repartition("tok").sortWithinPartitions("tok").mapInArrow(lean(local), out)
 
 
 def _small_blocks(shared: DataFrame) -> DataFrame:
@@ -500,7 +500,7 @@ def _candidates(blocks: DataFrame, members: DataFrame, num: int, forest: bool) -
         )
 
     rows = rows.select("block", "doc", "n", "comp", "sig", "side").repartition("block").sortWithinPartitions("block")
-    return rows.mapInArrow(trees, schema(a=LONG, b=LONG, block=STR)).distinct()
+    return rows.mapInArrow(lean(trees), schema(a=LONG, b=LONG, block=STR)).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
@@ -548,6 +548,7 @@ def _owners(scan: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each distinct non-null ``doc_id``."""
     spark = docs.sparkSession
+    release(spark)
     docs = _one_row_an_id(docs.select("doc_id", "text"))
     scan = materialize(_scan(docs, k), "jj-scan")
     owners = materialize(_owners(scan), "jj-owner")
@@ -588,9 +589,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
     largest = blocks.join(sizes, "block").groupBy("doc").agg(F.max(F.struct("c", "block")).alias("b")).select("b.block").distinct()
     tried, _ = told(blocks.join(largest, "block").select(blocks.columns), comp, sigs, None)
     comp = labelled(comp, verified(tried))
+    release(spark)
     # 2: all blocks that still have several components
     fresh, left = told(blocks, comp, sigs, tried)
     tried, comp = tried.union(fresh), labelled(comp, verified(fresh))
+    release(spark)
     # 3: only documents of blocks whose forest left pairs out, and chunk pairs of large groups, have anything new
     again = _regrouped(blocks.join(left, "block"), comp, contracted(tried, comp)).union(_large_pairs(groups, comp))
     again = materialize(_several(again, comp), "jj-again")
@@ -598,6 +601,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80) -> DataFrame:
     sigs = materialize(sigs.drop("sig").join(_sharper(docs, ids, k), "doc"), "jj-sharper")
     fresh, left = told(again, comp, sigs, tried)
     tried, comp = tried.union(fresh), labelled(comp, verified(fresh))
+    release(spark)
     # 4: what the last forests left out and is still between components
     last, _ = told(again.join(left, "block").select(again.columns), comp, sigs, tried, False)
     comp = labelled(comp, verified(last))
