@@ -72,6 +72,18 @@ def renumber(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
     return df.join(first.join(ranked(firsts, "__o", name), "__o").drop("__o"), key)
 
 
+def in_ranges(df: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
+    """Rows with the number of their range of ``order``, a function of the row alone.
+
+    A range partitioning samples again in every plan that reads it, so only the first keys of its parts are taken, once
+    (``parts`` rows); numbers are found from those bounds, whatever they are.
+    """
+    key = F.struct(*order)
+    firsts = df.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("__p")).agg(F.min(key).alias("__k")).select("__k")
+    bounds = df.sparkSession.createDataFrame(firsts.collect(), firsts.schema).agg(F.collect_list("__k").alias("__bounds"))
+    return df.crossJoin(F.broadcast(bounds)).withColumn(name, F.size(F.filter("__bounds", lambda b: b <= key))).drop("__bounds")
+
+
 def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
     """Rows numbered from 0 by a column without repeats: places within ranges, behind the counts of the ranges before."""
     ranges = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import ranked
+from .aggregates import in_ranges, ranked
 
 
 def hash_bucket(col: Column, buckets: int = 10) -> Column:
@@ -44,7 +44,7 @@ def _place(df: DataFrame, group: str, order: list, name: str, parts: int = 64) -
 
     A range's places stand behind the group's rows in the ranges before it.
     """
-    ranges = df.repartitionByRange(parts, group, *order).withColumn("__p", F.spark_partition_id())
+    ranges = in_ranges(df, [group, *order], "__p", parts)
     counts = ranges.groupBy(group, "__p").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("__p", group).orderBy(*order))
@@ -75,10 +75,10 @@ def document_limit(df: DataFrame, mode: str, doc: str, size: str, limit: int) ->
     return docs.withColumn("total", total).where(F.col("total") < limit).select(mode, doc, "n", "turn", "total")
 
 
-def fraction_sample(df: DataFrame, group: str, key: Column, fraction: float) -> DataFrame:
-    """round(n * fraction) rows of each group by smallest key (ties at .5 go up)."""
+def fraction_sample(df: DataFrame, group: str, key: Column, ident: str, fraction: float) -> DataFrame:
+    """round(n * fraction) rows of each group by smallest key, then ident (ties at .5 go up)."""
     counts = df.groupBy(F.col(group).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = _place(df.withColumn("__k", key), group, ["__k"], "__r").join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("__c")))
+    ranked = _place(df.withColumn("__k", key), group, ["__k", ident], "__r").join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("__c")))
     return ranked.where(F.col("__r") <= F.floor(F.col("__n") * fraction + 0.5)).drop("__r", "__n", "__k", "__c")
 
 

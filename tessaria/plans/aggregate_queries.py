@@ -221,7 +221,7 @@ WITH r AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mkt
 SELECT c_mktsegment, c_custkey FROM r WHERE k <= floor(n * 0.25 + 0.5)""")
 def fraction_sample(spark, sf):
     """A fraction of each group by smallest hash."""
-    return D.fraction_sample(table(spark, sf, "customer").select("c_mktsegment", "c_custkey", "c_name"), "c_mktsegment", F.sha2("c_name", 256), 0.25).drop("c_name")
+    return D.fraction_sample(table(spark, sf, "customer").select("c_mktsegment", "c_custkey", "c_name"), "c_mktsegment", F.sha2("c_name", 256), "c_custkey", 0.25).drop("c_name")
 
 
 @query("SELECT l_orderkey, count(*) AS n, min(l_linenumber)::BIGINT - 1 AS least, max(l_linenumber)::BIGINT - 1 AS most, count(DISTINCT l_linenumber) AS distinct FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)")
