@@ -86,9 +86,9 @@ def in_ranges(df: DataFrame, order: list[str], name: str, parts: int = 64) -> Da
 
 def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
     """Rows numbered from 0 by a column without repeats: places within ranges, behind the counts of the ranges before."""
-    ranges = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    ranges = in_ranges(df, [order], "__p")
     counts = ranges.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
     place = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
     return ranges.join(F.broadcast(counts.select("__p", before.alias("__b"))), "__p").withColumn(name, (place + F.col("__b")).cast("int")).drop("__p", "__b")
 

@@ -24,3 +24,12 @@ def test_fraction_sample_of_more_rows_than_are_sampled_for_ranges(spark, tmp_pat
     n = F.col("id")
     rows = spark.range(0, 60_000, numPartitions=1).select(n.alias("c_custkey"), F.format_string("Customer#%09d", n).alias("c_name"), F.concat(F.lit("S"), n % 3).alias("c_mktsegment"))
     same(spark, tmp_path, "fraction_sample", customer=rows)
+
+
+def test_stratified_split_of_more_sources_than_are_sampled_for_ranges(spark, tmp_path):
+    n = F.col("id")
+    o = spark.range(0, 60_000, numPartitions=1)
+    rows = o.select(
+        n.alias("o_orderkey"), n.alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.concat(n % 5 + 1, F.lit("-X")).alias("o_orderpriority"), F.lit("1995-01-01").cast("timestamp_ntz").alias("o_orderdate")
+    )
+    same(spark, tmp_path, "stratified_split", orders=rows)
