@@ -43,7 +43,8 @@ SELECT user_id, event_type, path::BIGINT AS path, count(*) AS length, min(event_
 def chain_paths(spark, sf):
     """Successor links within 12 hours, each path with its length.  Links join neighbours, so a path is a run."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts").withColumn("sec", F.unix_timestamp("ts"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    e = e.withColumn("sec", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long"))  # to the nearest second
     linked = F.col("sec") - F.lag("sec").over(w) <= 43200
     e = e.withColumn("path", F.sum(F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return e.groupBy("user_id", "event_type", "path").agg(F.count(F.lit(1)).alias("length"), F.min("event_id").alias("first_id"))

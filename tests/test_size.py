@@ -33,3 +33,10 @@ def test_stratified_split_of_more_sources_than_are_sampled_for_ranges(spark, tmp
         n.alias("o_orderkey"), n.alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.concat(n % 5 + 1, F.lit("-X")).alias("o_orderpriority"), F.lit("1995-01-01").cast("timestamp_ntz").alias("o_orderdate")
     )
     same(spark, tmp_path, "stratified_split", orders=rows)
+
+
+def test_chain_paths_round_seconds_as_the_sql_does(spark, tmp_path):
+    """43,200.8 seconds apart by the clock, 43,201 or 43,200 by whole seconds."""
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s).cast("timestamp_ntz")
+    rows = spark.createDataFrame([(1, 1, 0.1), (2, 1, 43200.9), (3, 2, 0.9), (4, 2, 43201.1), (5, 3, 0.5), (6, 3, 43201.5)], "event_id long, user_id long, s double")
+    same(spark, tmp_path, "chain_paths", events=rows.select("event_id", "user_id", F.lit("view").alias("event_type"), at(F.col("s")).alias("ts")))
