@@ -56,6 +56,8 @@ LEAST_BITS, MOST_BITS = 512, 1 << 20
 #: Documents whose sets a Python task holds at a time.
 CHUNK = 256
 SCAN = 2048
+#: Bytes of bitmaps that a traversal gathers at a time, on each side.
+HELD = 1 << 20
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -104,16 +106,21 @@ def dual_traversal(a: Tree, b: Tree, num: int, den: int = 100) -> tuple[np.ndarr
     """Leaf pairs (i, j) whose maximum possible overlap can still reach num/den of the union, and that overlap's share.
 
     A node pair's overlap is at most its larger node's size less the bits that
-    every document below it has and no document below the other has.
+    every document below it has and no document below the other has.  Bitmaps
+    of pairs are copied HELD bytes at a time: a block of near copies leaves all
+    its pairs, and those of long documents would be gigabytes.
     """
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     i, j = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
     while True:
-        lo1, hi1, any1, all1 = (v[i] for v in a.levels[la])
-        lo2, hi2, any2, all2 = (v[j] for v in b.levels[lb])
-        most = np.minimum(
-            np.minimum(hi1, hi2), np.minimum(hi1 - _popcount(all1 & ~any2), hi2 - _popcount(all2 & ~any1))
-        )
+        (lo1, hi1), (lo2, hi2) = ([v[at] for v in t.levels[n][:2]] for t, n, at in ((a, la, i), (b, lb, j)))
+        (any1, all1), (any2, all2) = a.levels[la][2:], b.levels[lb][2:]
+        most = np.minimum(hi1, hi2)
+        step = max(HELD // any1[0].nbytes, 1)
+        for s in range(0, len(i), step):
+            p, q = i[s : s + step], j[s : s + step]
+            least = np.minimum(hi1[s : s + step] - _popcount(all1[p] & ~any2[q]), hi2[s : s + step] - _popcount(all2[q] & ~any1[p]))
+            np.minimum(most[s : s + step], least, out=most[s : s + step])
         # overlap o and sizes x, y link when den*o >= num*(x + y - o)
         keep = (den + num) * most >= num * (lo1 + lo2)
         i, j = i[keep], j[keep]
@@ -486,10 +493,10 @@ def _candidates(blocks: DataFrame, members: DataFrame, num: int, forest: bool) -
         ids = t.column("block").to_numpy()
         at = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
         doc, n, comp, side = (t.column(c).to_numpy() for c in ("doc", "n", "comp", "side"))
-        sig = t.column("sig").to_pylist()
+        sig = t.column("sig")
         out, more = [], []
         for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
-            pairs, rest = block_pairs(doc[s:e], n[s:e], comp[s:e], sig[s:e], side[s:e], num, forest)
+            pairs, rest = block_pairs(doc[s:e], n[s:e], comp[s:e], sig.slice(s, e - s).to_pylist(), side[s:e], num, forest)
             out += pairs
             if rest:
                 more.append(ids[s])

@@ -494,6 +494,22 @@ def test_tree_prunes_only_what_cannot_link():
                 assert (j, i) in got
 
 
+def test_jaccard_block_of_long_near_copies_is_held_in_little_memory():
+    """All pairs of a full block reach the leaves; their bitmaps are gathered a part at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    sets = rng.integers(0, 1 << 62, (256, 4000)).astype(np.uint64)
+    sets[:, 20:] = sets[0, 20:]
+    sigs = [jaccard_join.signature(s, jaccard_join.SECOND) for s in sets]
+    ids = np.arange(256)
+    tracemalloc.start()
+    pairs, more = jaccard_join.block_pairs(ids, np.full(256, 4000), ids, sigs, np.zeros(256, int), 85, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == 255 and more and peak < 64e6
+
+
 def test_quality(docs, none):
     got = by_id(quality.quality(docs))
     for i, t in enumerate(TEXTS):
