@@ -80,8 +80,10 @@ def in_ranges(df: DataFrame, order: list[str], name: str, parts: int = 64) -> Da
     """
     key = F.struct(*order)
     firsts = df.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("__p")).agg(F.min(key).alias("__k")).select("__k")
-    bounds = df.sparkSession.createDataFrame(firsts.collect(), firsts.schema).agg(F.collect_list("__k").alias("__bounds"))
-    return df.crossJoin(F.broadcast(bounds)).withColumn(name, F.size(F.filter("__bounds", lambda b: b <= key))).drop("__bounds")
+    bounds = df.sparkSession.createDataFrame(firsts.collect(), firsts.schema).agg(F.sort_array(F.collect_list("__k")).alias("__bounds"))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(parts.bit_length()))])  # binary search: how many bounds are not above the key
+    at = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get("__bounds", n + step - 1) <= key, n + step).otherwise(n))
+    return df.crossJoin(F.broadcast(bounds)).withColumn(name, at).drop("__bounds")
 
 
 def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
