@@ -48,3 +48,30 @@ def test_html_articles_stay_whole(spark):
         assert got[f"http://copies.org/{i}"] == ["One", *copied, f"seen {i} times"]
         assert got[f"http://signed.org/{i}"] == [f"Head {i}", f"the text of article {i}", *["Sign-off line."] * (i % 2)]
     assert all(got[f"http://few.org/{i}"] == [f"Body {i}.", "Sign-off line."] for i in range(3))
+
+
+def test_html_wrapper_is_made_of_every_page_of_a_host(spark, monkeypatch):
+    """The variable text that only one page in a hundred of a host shows is a slot of the wrapper, however its pages are dealt."""
+    monkeypatch.setattr(html_text, "PART", 4, raising=False)
+    rows = [(f"http://all.org/{i}", f"<!-- {i} --><body><div class=a><p>{'n' + str(i) if i % 100 == 7 else 'same'}</p></div><div class=b><p>{'word ' * (30 + i) if i % 100 == 7 else 'fixed'}</p></div></body>") for i in range(300)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows * 2)], "page_id long, url string, html string")
+    made = [html_text.wrappers(pages.repartition(n)).collect() for n in (1, 7)]
+    assert made[0] == made[1] and len(made[0]) == 1
+    text = made[0][0]["wrapper"]
+    assert text.count("null") == 2 and "same" not in text and "fixed" not in text
+    got = {r["url"]: r["text"] for r in html_text.extract_pages(pages).collect()}
+    assert all(got[u] == (" ".join(["word"] * (30 + i)) if i % 100 == 7 else "fixed") for i, (u, _) in enumerate(rows))
+
+
+def test_html_states_align_like_their_pages():
+    """Trees that went through their state give the region and the elements of the wrapper that is inferred at once."""
+    pages = sorted(f"<body><main><h1>Head {i}</h1>{'<p>a text of more than a few words</p>' * (i % 3)}<ul><li>{i}</li></ul></main><div class=k{i}>x</div></body>" for i in range(9))
+    held = None
+    for p in pages:
+        node = html_text.Node.restored(html_text.tree(html_text.blocks(p)).state())
+        held = node if held is None else html_text.merge(held, node)
+
+    def plain(row):
+        return [row[0], row[1], row[2] is None if row[0] == "#" else [plain(r) for r in row[2]]]
+
+    assert plain(html_text.finish(held, len(pages))) == plain(html_text.infer(pages))
