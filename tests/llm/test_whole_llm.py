@@ -1,8 +1,10 @@
 """Cases in which operators once told less than the whole of their matches."""
 
+from collections import Counter
+
 import numpy as np
 
-from tessaria.llm import decontaminate, html_text, licence
+from tessaria.llm import decontaminate, html_text, licence, quality
 
 
 def brute(find, w):
@@ -75,3 +77,42 @@ def test_html_states_align_like_their_pages():
         return [row[0], row[1], row[2] is None if row[0] == "#" else [plain(r) for r in row[2]]]
 
     assert plain(html_text.finish(held, len(pages))) == plain(html_text.infer(pages))
+
+
+def scripts(spark):
+    """Texts of a language of 900 characters, some beyond 16 bits, and of one of few."""
+    rng = np.random.default_rng(8)
+    signs = [chr(0x4E00 + i) for i in range(880)] + [chr(0x20000 + i) for i in range(20)]
+    rows = ["".join(signs[int(k)] for k in np.minimum(rng.zipf(1.3, 90) - 1, 899)) + " " + "ab " * 30 for _ in range(30)]
+    rows = [(i, t, "zh") for i, t in enumerate(rows)] + [(50 + i, "plain words of few letters " * (2 + i), "en") for i in range(4)] + [(60, None, "zh"), (61, "", "zh")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+
+def test_quality_counts_every_trigram_of_every_character(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST_DOCS", 3)
+    rows, docs = scripts(spark)
+    got = [r["n"] for r in quality.count_ngrams(docs, quality.languages(docs)).collect()]
+    want = Counter((lang, *g) for _, t, lang in rows for s in [["", "", *(t or "")]] for g in zip(s, s[1:], s[2:]))
+    assert sorted(got) == sorted(want.values())
+
+
+def test_quality_of_a_large_model_in_parts(spark, monkeypatch):
+    """A model of more n-grams than are held at once gives the same scores and verdicts, by Spark's joins and a pass a part."""
+    monkeypatch.setattr(quality, "LEAST_DOCS", 3)
+    _, docs = scripts(spark)
+    want, kept = sorted(quality.quality(docs).collect()), sorted(quality.quality_filter(docs).collect())
+    monkeypatch.setattr(quality, "ENTRIES", 800)
+    assert max(r[-1] for r in quality.train(docs)[2]) > 1
+    got = quality.quality(docs).collect()
+    assert sorted(got) == want and sorted(quality.quality_filter(docs).collect()) == kept
+
+
+def test_kneser_ney_of_long_codes_sums_to_one():
+    a = quality.Alphabet([97, 98])
+    code, n = np.unique(a.codes("ab\u4e00\u4e8cab\U00020000\u4e00a\u4e00b\u4e8c\u4e00"), return_counts=True)
+    m = quality.KneserNey(code, n)
+    every = np.array([*range(quality.SYMBOLS), *(quality.SYMBOLS + x for x in (0x4E00, 0x4E8C, 0x20000))])
+    for x, y in ((1, 2), (0, 0), (quality.SYMBOLS + 0x4E00, quality.SYMBOLS + 0x4E8C), (quality.SYMBOLS + 0x4E8C, 1)):
+        wide = np.maximum(np.maximum(x, y), every) >= quality.SYMBOLS
+        at = np.where(wide, quality.SHORT + (x << 42 | y << 21 | every), (x * 128 + y) * 128 + every)
+        assert abs((10 ** m.log10(at)).sum() - 1) < 1e-9
