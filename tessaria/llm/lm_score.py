@@ -204,25 +204,31 @@ class LogBilinear:
 
     def log_probs(self, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of ``w`` after ``u`` and, before that, ``v``."""
-        q = self.R[u] @ self.C1 + self.R[v] @ self.C2
-        q = np.column_stack((q, np.ones(len(w), np.float32)))
-        out, ones = np.zeros(len(w)), np.ones(max(self.branch, len(self.levels[-1][0])), np.float32)
+        order = np.argsort(w.astype(np.uint16) if len(self.R) <= 1 << 16 else w, kind="stable")  # in this order, so are the classes
+        w = w[order]
+        q = np.ones((len(w), self.R.shape[1] + 1), np.float32)
+        q[:, :-1] = self.R[u[order]] @ self.C1 + self.R[v[order]] @ self.C2
+        total = np.zeros(len(w))
         for x, _, width in self.levels:
-            at = w // width
-            group = at // self.branch if width < self.branch**2 else np.zeros(len(w), np.int64)
             size = self.branch if width < self.branch**2 else len(x)
-            order = np.argsort(group.astype(np.uint16) if len(x) <= 1 << 16 else group, kind="stable")
-            cut = np.flatnonzero(np.diff(group[order])) + 1
-            for rows in np.split(order, cut) if len(order) else ():
-                low = int(group[rows[0]]) * size
-                y = x[low : low + size].T
-                for i in range(0, len(rows), BLOCK):
-                    r = rows[i : i + BLOCK]
-                    z = q[r] @ y
-                    np.clip(z, -60, 60, out=z)  # so that no exponential overflows; each softmax is one of the cut scores
-                    own = z[np.arange(len(r)), at[r] - low]
-                    np.exp(z, out=z)
-                    out[r] += own - np.log(z @ ones[: z.shape[1]])
+            at = w // width
+            group = at // size
+            place, ones, buffer = at - group * size, np.ones(size, np.float32), np.empty((min(BLOCK, len(w)), size), np.float32)
+            for i in range(0, len(w), BLOCK):
+                g, z = group[i : i + BLOCK], buffer[: len(w) - i]
+                cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+                for low, high in zip(cut, cut[1:]):
+                    y = x[g[low] * size : (g[low] + 1) * size]
+                    np.matmul(q[i + low : i + high], y.T, out=z[low:high, : len(y)])
+                    z[low:high, len(y) :] = 0
+                np.clip(z, -60, 60, out=z)  # so that no exponential overflows; each softmax is one of the cut scores
+                own = z[np.arange(len(g)), place[i : i + BLOCK]]
+                if len(y) < size:  # only a level's last group is short
+                    z[low:, len(y) :] = -np.inf
+                np.exp(z, out=z)
+                total[i : i + BLOCK] += own - np.log(z @ ones)
+        out = np.empty(len(w))
+        out[order] = total
         return out
 
 
@@ -263,19 +269,25 @@ def train(docs: DataFrame, lex: Lexicon) -> LogBilinear:
 
         def summed(batches):
             """Sorted rows to one a row of the parameters: its updates and the weighted sum of its changes."""
-            row, total, acc = None, 0, None
+            held = None
             for b in batches:
-                out = []
-                for r, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    part = np.frombuffer(x, "<f2").astype(np.float64) * n
-                    if r != row:
-                        if row is not None:
-                            out.append((row, total, acc.tobytes()))
-                        row, total, acc = r, n, part
-                    else:
-                        total, acc = total + n, acc + part
-                yield _rows(out)
-            yield _rows([(row, total, acc.tobytes())] if row is not None else [])
+                row, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+                edge, data = np.frombuffer(b.column(2).buffers()[1], np.int32)[b.column(2).offset :][: len(row) + 1], b.column(2).buffers()[2]
+                first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+                size, out = np.diff(edge)[first], []
+                for part in np.split(first, np.flatnonzero(np.diff(size)) + 1) if len(first) else ():  # rows of one table
+                    low = int(part[0])
+                    high = int(first[np.searchsorted(first, part[-1]) + 1]) if part[-1] != first[-1] else len(row)
+                    cells = np.frombuffer(data, "<f2", (edge[high] - edge[low]) // 2, edge[low]).reshape(high - low, -1)
+                    sums = np.add.reduceat(cells.astype(np.float64) * n[low:high, None], part - low, axis=0)
+                    out += zip(row[part].tolist(), np.add.reduceat(n[low:high], part - low).tolist(), sums)
+                if held is not None and out and held[0] == out[0][0]:
+                    out[0] = (held[0], held[1] + out[0][1], held[2] + out[0][2])
+                elif held is not None:
+                    out.insert(0, held)
+                held = out.pop() if out else None
+                yield _rows([(r, k, x.tobytes()) for r, k, x in out])
+            yield _rows([(held[0], held[1], held[2].tobytes())] if held is not None else [])
 
         changes = dealt.where(F.col("round") == number).select("text").mapInArrow(lean(local), schema(row=LONG, n=LONG, x=BIN))
         changes = changes.repartition("row").sortWithinPartitions("row").mapInArrow(lean(summed), schema(row=LONG, n=LONG, x=BIN))

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from tessaria.llm import decontaminate, html_text, licence, quality
+from tessaria.llm import decontaminate, html_text, licence, lm_score, quality
 
 
 def brute(find, w):
@@ -116,3 +116,22 @@ def test_kneser_ney_of_long_codes_sums_to_one():
         wide = np.maximum(np.maximum(x, y), every) >= quality.SYMBOLS
         at = np.where(wide, quality.SHORT + (x << 42 | y << 21 | every), (x * 128 + y) * 128 + every)
         assert abs((10 ** m.log10(at)).sum() - 1) < 1e-9
+
+
+def test_lm_tokens_score_like_plain_softmaxes(monkeypatch):
+    """Tokens scored together, over blocks and short last groups, against one softmax after the other."""
+    monkeypatch.setattr(lm_score, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    for size in (2, 9, 30, 131):
+        m = lm_score.LogBilinear(rng.dirichlet(np.ones(size)))
+        w, u, v = rng.integers(0, size, (3, 500))
+        got = m.log_probs(w, u, v)
+        for i in range(500):
+            q, want = np.append(m.R[u[i]] @ m.C1 + m.R[v[i]] @ m.C2, 1), 0.0
+            for x, _, width in m.levels:
+                at = w[i] // width
+                low = at // m.branch * m.branch if width < m.branch**2 else 0
+                z = x[low : low + m.branch if width < m.branch**2 else len(x)] @ q
+                want += z[at - low] - np.log(np.exp(z).sum())
+            assert abs(got[i] - want) < 1e-4
+    assert len(m.log_probs(*np.zeros((3, 0), np.int64))) == 0
