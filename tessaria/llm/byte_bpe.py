@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BIN, INT, LONG, STR, lean, materialize, read_table, release, schema, top_threshold, trim
+from .common import BIN, INT, LONG, STR, lean, materialize, read_table, release, release_driver, schema, top_threshold, trim
 from .textcore import mix
 
 #: Pieces that are broadcast, at most, and documents (about) in which they are counted; the others are folded by their own tasks.
@@ -575,6 +575,7 @@ def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("d
         parts = [_texts_of(pickle.loads(body.as_buffer()), right, known, token, n_keys, decoded) for body in left.column("body")]
         return pa.concat_tables([pa.Table.from_arrays(p, out.fieldNames()) for p in parts]) if parts else to_arrow_schema(out).empty_table()
 
+    release_driver(spark)  # the last query's plans hold the rank map as text
     chunks = docs.select(*keys, "text").mapInArrow(lean(split), schema(chunk=LONG, body=BIN)).repartition("chunk")
     rare = chunks.mapInArrow(lean(wanted), schema(piece=BIN, chunk=LONG, i=INT)).repartition("piece").sortWithinPartitions("piece")
     rare = rare.mapInArrow(lean(gathered), T.StructType([T.StructField("piece", BIN), T.StructField("at", T.ArrayType(schema(chunk=LONG, i=INT)))]))

@@ -1,4 +1,4 @@
-"""Executors of their own give the heap back that finished queries have left."""
+"""Executors of their own give the heap back that finished queries have left; the driver's JVM, its freed native memory too."""
 
 import importlib.util
 import os
@@ -45,3 +45,29 @@ def test_executors_give_their_heap_back(tmp_path):
     assert line, run.stderr[-2000:]
     n, before, after = map(float, line.split()[1:])
     assert n == 1 and before - after >= 150, line
+
+
+@pytest.mark.parametrize("way", ["release", "materialize"])
+def test_driver_gives_native_memory_back(spark, way):
+    psutil = pytest.importorskip("psutil")
+    from tessaria.llm.common import materialize, release
+
+    jvm = spark.sparkContext._jvm
+    own = next(p for p in psutil.Process().children(recursive=True) if "SparkSubmit" in " ".join(p.cmdline()))
+    materialize(spark.range(3), "warm")
+    field = jvm.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    native = field.get(None)
+    blocks = [native.allocateMemory(100_000) for _ in range(3000)]
+    for x in blocks:
+        native.setMemory(x, 100_000, 1)
+    full = own.memory_info().rss / 1e6
+    for k, x in enumerate(blocks):
+        if k % 50:  # the others keep glibc from giving back what is freed between them
+            native.freeMemory(x)
+    kept = own.memory_info().rss / 1e6
+    release(spark) if way == "release" else materialize(spark.range(3), "trimmed")
+    after = own.memory_info().rss / 1e6
+    for x in blocks[::50]:
+        native.freeMemory(x)
+    assert kept - after >= 120, (full, kept, after)
