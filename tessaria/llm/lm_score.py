@@ -28,6 +28,8 @@ training token every probability is that of the unseen word.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -103,10 +105,23 @@ class Lexicon:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of hashes, -1 where a word is not frequent."""
-        if not len(self.hash):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where(self.hash[at] == h, at, -1)
+        shift, first, ended = self._buckets
+        at = first.take(h >> shift).astype(np.int64)
+        found = ended.take(at)
+        less = np.flatnonzero(found < h)
+        while len(less):  # the end is above every hash or equal to it
+            at[less] += 1
+            found[less] = ended.take(at[less])
+            less = less[found[less] < h[less]]
+        return np.where((found == h) & (at < len(self.hash)), at, -1)
+
+    @functools.cached_property
+    def _buckets(self) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+        """Hashes by their leading bits, about a quarter of one a bucket: the shift, each bucket's first place, and the hashes with an end."""
+        bits = (4 * len(self.hash) + 1).bit_length()
+        shift = np.uint64(64 - bits)
+        n = np.bincount((self.hash >> shift).astype(np.int64), minlength=1 << bits)
+        return shift, (np.cumsum(n) - n).astype(np.int32), np.append(self.hash, np.uint64((1 << 64) - 1))
 
     def classes(self, at: np.ndarray) -> np.ndarray:
         return np.where(at < 0, OTHER, self.klass[at]) if len(self.hash) else np.full(len(at), OTHER)
@@ -124,6 +139,12 @@ def contexts(lex: Lexicon, places: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return out, one, two
 
 
+def _put(x: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``x[rows] = values`` with each row moved as one item."""
+    item = np.dtype((np.void, x.itemsize * x.shape[1]))
+    x.view(item)[:, 0][rows] = np.ascontiguousarray(values, x.dtype).view(item)[:, 0]
+
+
 class LogBilinear:
     """score(x | u, v) = (R[u] C1 + R[v] C2) . X[x] + c[x], for words x and classes of two levels; a table's last column is c.
 
@@ -162,28 +183,30 @@ class LogBilinear:
             chosen = np.zeros((len(x), len(at)), np.float32)
             chosen[at, np.arange(len(at))] = 1
             g, rows, times = chosen @ grad, slice(None), chosen.sum(1).astype(np.int64)
+            square += g * g
+            x += np.float32(RATE) * g / np.sqrt(square)
         else:
             order = np.argsort(at.astype(np.uint16) if len(x) <= 1 << 16 else at, kind="stable")  # short integers are sorted by their digits
             at = at[order]
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            g, rows, times = np.add.reduceat(grad[order], first, axis=0), at[first], np.diff(np.append(first, len(at)))
-        s = square[rows] + g * g
-        square[rows] = s
-        x[rows] += np.float32(RATE) * g / np.sqrt(s)
+            g, rows, times = np.add.reduceat(grad.take(order, axis=0), first, axis=0), at[first], np.diff(np.append(first, len(at)))
+            s = square.take(rows, axis=0) + g * g
+            _put(square, rows, s)
+            _put(x, rows, x.take(rows, axis=0) + np.float32(RATE) * g / np.sqrt(s))
         self.updates[k][rows] += times
 
     def step(self, w, u, v, rng, noise: int = NOISE) -> None:
         """One ascent of the objectives of all levels on a batch, with noise words shared by the batch."""
         n, dim = len(w), self.R.shape[1]
         drawn = np.minimum(np.searchsorted(self._cumulative, rng.random(noise)), len(self.R) - 1)
-        ru, rv = self.R[u], self.R[v]
+        ru, rv = self.R.take(u, axis=0), self.R.take(v, axis=0)  # much faster than by brackets
         q = np.ones((n, dim + 1), np.float32)  # the last column takes the biases
         q[:, :dim] = ru @ self.C1 + rv @ self.C2
         scale, shift = np.float32(1 / np.sqrt(n)), np.float32(np.log(noise))
         dq = np.zeros((n, dim + 1), np.float32)
         for i, (x, log_noise, width) in enumerate(self.levels):
             at, other = (w, drawn) if width == 1 else (w // width, drawn // width)
-            xa, xo = x[at], x[other]
+            xa, xo = x.take(at, axis=0), x.take(other, axis=0)
             pos = np.einsum("ij,ij->i", q, xa) - (log_noise[at] + shift)
             np.clip(pos, -30, 30, out=pos)
             pos = scale / (1 + np.exp(pos))  # 1 - sigmoid
@@ -207,7 +230,7 @@ class LogBilinear:
         order = np.argsort(w.astype(np.uint16) if len(self.R) <= 1 << 16 else w, kind="stable")  # in this order, so are the classes
         w = w[order]
         q = np.ones((len(w), self.R.shape[1] + 1), np.float32)
-        q[:, :-1] = self.R[u[order]] @ self.C1 + self.R[v[order]] @ self.C2
+        q[:, :-1] = self.R.take(u[order], axis=0) @ self.C1 + self.R.take(v[order], axis=0) @ self.C2
         total = np.zeros(len(w))
         for x, _, width in self.levels:
             size = self.branch if width < self.branch**2 else len(x)
@@ -350,6 +373,9 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: LogBilinear,
                 lists = []
                 for d, c in enumerate(cuts):
                     miss = np.flatnonzero(~known[at[d] : at[d + 1]])
+                    if not len(miss):
+                        lists.append([])
+                        continue
                     _, first, n = np.unique(h[at[d] : at[d + 1]][miss], return_index=True, return_counts=True)
                     lists.append([{"word": x, "n": m} for x, m in zip(pick([c], miss[first]), n.tolist())])
                 yield pa.RecordBatch.from_arrays(

@@ -617,3 +617,32 @@ def test_distributed_difference_cover(spark):
     assert tops == sorted(tops)
     for a, b, x, y in zip(order, order[1:], tops, tops[1:]):
         assert x == y or a["rank"] < b["rank"]
+
+
+def test_lexicon_finds_what_a_binary_search_finds_in_half_its_time():
+    import time
+
+    from tessaria.llm.lm_score import Lexicon
+
+    def places(sorted_, h):
+        at = np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)
+        return np.where(sorted_[at] == h, at, -1)
+
+    rng, top = np.random.default_rng(5), (1 << 64) - 1
+    lex = Lexicon([b"", *(b"w%d" % i for i in range(300_000))], [1] * 300_001, 300_001, 300_001)
+    h = np.concatenate((lex.hash[rng.integers(0, len(lex.hash), 500_000)], rng.integers(0, top, 500_000, dtype=np.uint64, endpoint=True)))
+    assert np.array_equal(lex.find(h), places(lex.hash, h))
+    spent = []
+    for find in (lex.find, lambda x: places(lex.hash, x)):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            find(h)
+            times.append(time.process_time() - start)
+        spent.append(min(times))
+    assert spent[0] < spent[1] / 2, spent
+    for own in ([], [0], [top], [0, 1, 2, 3, top - 1, top], [5] + [7 + i for i in range(40)]):
+        lex = Lexicon([b""], [1], 1, 1)
+        lex.hash = np.array(own, dtype=np.uint64)
+        h = np.array([0, 1, 4, 5, 6, 46, 47, 1 << 63, top - 1, top], dtype=np.uint64)
+        assert np.array_equal(lex.find(h), places(lex.hash, h) if own else np.full(len(h), -1)), own
