@@ -6,8 +6,10 @@ hash; equal strings have equal anchors at equal offsets, so the anchors deal
 the suffixes out without loss: all starts of a document that share an anchor
 occurrence are one interval, and an interval with the bytes it reaches is a
 context.  Contexts that are equal by two 64-bit hashes are told by their
-first occurrence.  Where one anchor has several distinct contexts, their suffixes
-are ordered by the difference-cover algorithm (sampled triples are sorted and
+first occurrence.  Where one anchor has several distinct contexts, starts whose
+string's hash occurs once have no equal, and runs of the others that are equal
+byte for byte are folded into the earliest.  The suffixes of what is left are
+ordered by the difference-cover algorithm (sampled triples are sorted and
 named, names recursed on, the remaining suffixes merged in), and neighbours
 with equal 100-byte prefixes are found by comparing adjacent prefixes.
 
@@ -39,6 +41,8 @@ LENGTH, ANCHOR = 100, 32
 MOST = 4096
 #: Bytes whose suffixes one call orders.
 SORT = 1 << 20
+#: Bytes whose anchors one call finds, starts of one text among them, and bits for a place among those.
+BLOCK, PIECE, PLACE = 1 << 16, 1 << 21, 22
 
 
 # --- difference cover ---------------------------------------------------------
@@ -117,34 +121,66 @@ def equal_prefixes(contexts: list[bytes], starts: list[int], length: int = LENGT
 # --- anchors -------------------------------------------------------------------
 
 
-def _hasher(buf: np.ndarray):
+def _sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the bytes' terms, and what brings a difference of two to its start."""
     pw, iv = _powers(len(buf) + 1)
     c = np.zeros(len(buf) + 1, dtype=U)
     np.cumsum(_BYTES[buf] * pw[: len(buf)], out=c[1:])
+    return c, iv
+
+
+def _hasher(buf: np.ndarray):
+    c, iv = _sums(buf)
     return lambda s, e: mix((c[e] - c[s]) * iv[s] + (e - s).astype(U) * U(0x9E3779B97F4A7C15))
 
 
-def intervals(data: bytes, length: int = LENGTH, anchor: int = ANCHOR):
-    """(first start, last start, anchor hash, context hash) of the runs of starts that share an anchor occurrence."""
-    n = len(data)
-    if n < length:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z
-    buf = np.frombuffer(data, dtype=np.uint8)
-    of = _hasher(buf)
-    at = np.arange(n - anchor + 1)
-    h = of(at, at + anchor)
-    best, w, width = at, 1, length - anchor + 1
+def intervals(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> list[np.ndarray]:
+    """(text, first start, last start, anchor hash, context hash) of the runs of starts that share an anchor occurrence.
+
+    A text of over ``PIECE`` starts is taken in pieces; a run that crosses from one to the next is two.
+    """
+    z = np.zeros(0, np.int64)
+    out, held, size = [(z,) * 5], [], 0
+    for k, data in enumerate(texts):
+        for i in range(0, len(data) - length + 1, PIECE):
+            held.append((k, i, data[i : i + PIECE + length - 1]))
+            size += len(held[-1][2])
+            if size >= BLOCK:
+                out.append(_laid(held, length, anchor))
+                held, size = [], 0
+    if held:
+        out.append(_laid(held, length, anchor))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def _laid(pieces: list[tuple[int, int, bytes]], length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """``intervals`` of (text, its start, bytes), laid end to end; each has ``length`` bytes, all have under ``1 << PLACE``."""
+    text, base, data = zip(*pieces)
+    size = np.array([len(x) for x in data])
+    edge = np.cumsum(size) - size
+    buf = np.frombuffer(b"".join(data), dtype=np.uint8)
+    n = len(buf)
+    c, iv = _sums(buf)
+    h = mix((c[anchor:] - c[:-anchor]) * iv[: n - anchor + 1])
+    # The least of hash and place is the leftmost of the least hashes; as many bits of the hash count in every text.
+    best, w, width = h >> U(PLACE) << U(PLACE) | np.arange(len(h), dtype=U), 1, length - anchor + 1
     while w < width:
         step = min(w, width - w)
-        a, b = best[: len(best) - step], best[step:]
-        best = np.where(h[b] < h[a], b, a)
+        best = np.minimum(best[: len(best) - step], best[step:])
         w += step
-    first = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))
-    last = np.append(first[1:], len(best)) - 1
-    place = best[first]
-    context = of(first, last + length) ^ mix((place - first).astype(U))
-    return first, last, h[place].view(np.int64), context.view(np.int64)
+    head = np.ones(len(best) + 1, dtype=bool)  # starts too near to a piece's end are runs of no piece
+    head[1:-1] = best[1:] != best[:-1]
+    head[edge] = head[edge + size - length + 1] = True
+    first = np.flatnonzero(head)
+    first, last = first[:-1], first[1:] - 1
+    k = np.searchsorted(edge, first, side="right") - 1
+    own = first - edge[k] <= size[k] - length
+    first, last, k = first[own], last[own], k[own]
+    place = (best[first] & U((1 << PLACE) - 1)).astype(np.int64)
+    context = mix((c[last + length] - c[first]) * iv[first] + (last + length - first).astype(U) * U(0x9E3779B97F4A7C15))
+    context ^= mix((place - first).astype(U))
+    move = np.array(base)[k] - edge[k]
+    return np.array(text)[k], first + move, last + move, h[place].view(np.int64), context.view(np.int64)
 
 
 _ROW = dict(a=LONG, c=LONG, doc=LONG, l=LONG, r=LONG)
@@ -157,12 +193,13 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
                 b = whole.slice(i, 2048)
-                parts = []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    l, r, a, c = intervals(as_bytes(t))
-                    parts.append((a, c, np.full(len(l), d, dtype=np.int64), l, r))
-                a, c, d, l, r = (np.concatenate(x) for x in zip(*parts))
-                order = np.lexsort((l, d, c, a))
+                k, l, r, a, c = intervals([as_bytes(t) for t in b.column(1).to_pylist()])
+                d = b.column(0).to_numpy()[k]
+                order = np.argsort(a)
+                again = a[order[1:]] == a[order[:-1]]
+                some = np.append(again, False) | np.append(False, again) if len(a) else np.zeros(0, bool)
+                x = order[some]
+                order[some] = x[np.lexsort((l[x], d[x], c[x], a[x]))]
                 a, c, d, l, r = (x[order] for x in (a, c, d, l, r))
                 same = np.zeros(len(a), dtype=bool)
                 same[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
@@ -259,6 +296,73 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("doc", "text", "w").mapInArrow(local, schema(a=LONG, doc=LONG, l=LONG, data=BIN))
 
 
+def _recurring(h: np.ndarray) -> np.ndarray:
+    """Whether a value is there more than once."""
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(h), dtype=bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
+def later_starts(doc: np.ndarray, l: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, l, r): starts l..r whose string also starts earlier in another of the contexts, at ``l`` of ``doc`` each.
+
+    Hashes only tell which strings have no equal; the others are compared byte for byte.
+    """
+    size = np.array([len(x) for x in data])
+    text = b"".join(data)
+    c, iv = _sums(np.frombuffer(text, dtype=np.uint8))
+    starts = size - LENGTH + 1
+    k = np.repeat(np.arange(len(data)), starts)
+    at = np.arange(len(k)) + np.repeat((LENGTH - 1) * np.arange(len(data)), starts)
+    h = (c[at + LENGTH] - c[at]) * iv[at]
+    move = l - (np.cumsum(size) - size)
+    gone = [(np.zeros(0, np.int64),) * 3]
+    while True:
+        some = _recurring(h)
+        h, k, at = h[some], k[some], at[some]
+        if not len(h):
+            break
+        head = np.ones(len(h), dtype=bool)
+        head[1:] = (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(h)) - 1
+        d, s = doc[k[first]], at[first] + move[k[first]]
+        order = np.lexsort((s, d))
+        own, seen = np.arange(len(first)), {}
+        runs = [text[x:y] for x, y in zip(at[first].tolist(), (at[last] + LENGTH).tolist())]
+        for i in order.tolist():
+            own[i] = seen.setdefault(runs[i], i)
+        kept = own == np.arange(len(own))
+        later = (d != d[own]) | (s != s[own])
+        gone.append((d[later], s[later], (s + last - first)[later]))
+        if kept.all():
+            gone.append(_ordered(d, s, runs))
+            break
+        some = np.repeat(kept, last - first + 1)
+        h, k, at = h[some], k[some], at[some]
+    return tuple(np.concatenate(x) for x in zip(*gone))
+
+
+def _ordered(doc: np.ndarray, l: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``later_starts`` by the order of the suffixes."""
+    edge = np.concatenate(([0], np.cumsum([len(x) + 1 for x in data])))
+    gone = [(np.zeros(0, np.int64),) * 2]
+    for g in equal_prefixes(data, [len(x) - LENGTH + 1 for x in data]):
+        k = np.searchsorted(edge, g, side="right") - 1
+        d, s = doc[k], l[k] + g - edge[k]
+        first = np.lexsort((s, d))[0]
+        later = (d != d[first]) | (s != s[first])
+        gone.append((d[later], s[later]))
+    d, s = (np.concatenate(x) for x in zip(*gone))
+    order = np.lexsort((s, d))
+    d, s = d[order], s[order]
+    head = np.ones(len(d), dtype=bool)
+    head[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
+    return d[head], s[head], s[np.append(head[1:], True)[: len(s)]]
+
+
 def _sorted_out(contexts: DataFrame) -> DataFrame:
     """Starts (doc, l, r) of contexts whose string has an earlier start in another context of the anchor."""
 
@@ -272,26 +376,11 @@ def _sorted_out(contexts: DataFrame) -> DataFrame:
             while j < len(cut) - 1 and (j == i or size < SORT):
                 size += sum(map(len, data[cut[j] : cut[j + 1]]))
                 j += 1
-            yield from ordered(doc[cut[i] : cut[j]], l[cut[i] : cut[j]], data[cut[i] : cut[j]])
+            found = later_starts(doc[cut[i] : cut[j]], l[cut[i] : cut[j]], data[cut[i] : cut[j]])
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc", "l", "r"])
             i = j
 
-    def ordered(doc, l, data):
-        edge = np.concatenate(([0], np.cumsum([len(x) + 1 for x in data])))
-        gone = []
-        for g in equal_prefixes(data, [len(x) - LENGTH + 1 for x in data]):
-            k = np.searchsorted(edge, g, side="right") - 1
-            d, s = doc[k], l[k] + g - edge[k]
-            first = np.lexsort((s, d))[0]
-            later = (d != d[first]) | (s != s[first])
-            gone.append((d[later], s[later]))
-        if gone:
-            d, s = (np.concatenate(x) for x in zip(*gone))
-            order = np.lexsort((s, d))
-            d, s = d[order], s[order]
-            head = np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)))
-            tail = np.append(head[1:], True)
-            yield pa.RecordBatch.from_arrays([pa.array(d[head]), pa.array(s[head]), pa.array(s[tail])], ["doc", "l", "r"])
-
     rows = contexts.repartition("a").sortWithinPartitions("a")
     return rows.mapInArrow(lambda b: _streamed(b, "a", handle), schema(doc=LONG, l=LONG, r=LONG))
 

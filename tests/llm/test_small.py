@@ -288,6 +288,48 @@ def test_suffix_array():
             assert suffix_dedup.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
+def test_suffixes_that_recur_are_ordered(monkeypatch):
+    """Contexts of one anchor: of strings that are there once, and of runs that are equal, no second suffix is ordered."""
+    rng = np.random.default_rng(4)
+    junk = [rng.bytes(60) for _ in range(60)]
+    same, part = prose(6, 40).encode()[:160], prose(7, 40).encode()[:130]
+    data = [x + y + z for x, y, z in zip(junk, [same] * 20 + [part] * 20 + [b"", same[:120], part[20:]] * 5 + [same] * 5, junk[::-1])]
+    doc, l = rng.integers(0, 9, len(data)), 1000 * rng.integers(0, 9, len(data))
+    ordered, order = [], suffix_dedup.equal_prefixes
+    monkeypatch.setattr(suffix_dedup, "equal_prefixes", lambda data, starts: ordered.append(sum(map(len, data))) or order(data, starts))
+    got = {(d, s) for d, x, y in zip(*(c.tolist() for c in suffix_dedup.later_starts(doc, l, data))) for s in range(x, y + 1)}
+    places = {}
+    for d, x, b in zip(doc.tolist(), l.tolist(), data):
+        for i in range(len(b) - 99):
+            places.setdefault(b[i : i + 100], set()).add((d, x + i))
+    assert got == {p for x in places.values() for p in x - {min(x)}}
+    assert sum(ordered) < 1000 < sum(map(len, data)) // 10
+    once = [x * 2 for x in junk]
+    ordered.clear()
+    assert [len(c) for c in suffix_dedup.later_starts(doc, l, once)] == [0, 0, 0] and not ordered
+
+
+def test_anchor_intervals(monkeypatch):
+    """Every start is in one interval, whatever is laid beside it, and equal strings have their anchor at one offset."""
+    texts = [t.encode() for t in TEXTS if t] + [b"a" * 400, b"ab" * 150, LONG.encode()[7:900]]
+    whole = suffix_dedup.intervals(texts)
+    for block, piece in ((1 << 16, 1 << 21), (1, 1 << 21), (300, 64)):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        k, l, r, a, c = suffix_dedup.intervals(texts)
+        starts, anchors, contexts = [], {}, {}
+        for i, x, y, h, g in zip(*(v.tolist() for v in (k, l, r, a, c))):
+            starts += [(i, s) for s in range(x, y + 1)]
+            contexts.setdefault((h, g), set()).add(texts[i][x : y + 100])
+            for s in range(x, y + 1):
+                anchors.setdefault(texts[i][s : s + 100], set()).add(h)
+        assert sorted(starts) == [(i, s) for i, t in enumerate(texts) for s in range(len(t) - 99)]
+        assert {len(x) for x in anchors.values()} == {len(x) for x in contexts.values()} == {1}
+        if piece > max(map(len, texts)):
+            assert all(np.array_equal(x, y) for x, y in zip(whole, (k, l, r, a, c)))
+    assert [len(x) for x in suffix_dedup.intervals([b"", b"x" * 99])] == [0] * 5
+
+
 def test_decontaminate(docs, none, spark):
     items = spark.createDataFrame([(1, prose(1, 4000)[1000:1300]), (2, "one"), (3, None), (4, "not there at all in any text"), (5, prose(2, 120))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, items).collect()}
